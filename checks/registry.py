@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -39,17 +40,48 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def on_tabs(key: str, function: Callable[[Tabs], DataFrame]) -> None:
-    QUERIES[key] = lambda spark, d: function(bind_tabs(spark, d))
+class Fleet:
+    """Tabs of one directory, the filters the dataset needs, and its written dimensions."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.tabs = bind_tabs(spark, d)
+        # The dataset is the same with all filters.
+        self.filtered = filters.apply_filters(self.tabs, cross_source=False)
+
+    @cached_property
+    def dims(self) -> dataset.Dimensions:
+        return dataset.dimensions(self.filtered)
+
+    @cached_property
+    def devices(self) -> DataFrame:
+        return normalize_devices(dataset.device_dataset(self.filtered, self.dims))
 
 
-def filtered(tabs: Tabs) -> Tabs:
-    """Filters that the device dataset needs (its rows are the same with all of them)."""
-    return filters.apply_filters(tabs, cross_source=False)
+_FLEETS: dict[tuple[str, str], Fleet] = {}
+
+
+def fleet(spark: SparkSession, d: str) -> Fleet:
+    """Kept per session and directory: the queries share the small dimensions, not the devices."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FLEETS:
+        _FLEETS[key] = Fleet(spark, d)
+    return _FLEETS[key]
 
 
 def devices(spark: SparkSession, d: str) -> DataFrame:
-    return normalize_devices(dataset.devices_from_tabs(bind_tabs(spark, d)))
+    return fleet(spark, d).devices
+
+
+def on_fleet(key: str, function: Callable[[Fleet], DataFrame]) -> None:
+    QUERIES[key] = lambda spark, d: function(fleet(spark, d))
+
+
+def on_tabs(key: str, function: Callable[[Tabs], DataFrame]) -> None:
+    on_fleet(key, lambda f: function(f.tabs))
+
+
+def on_filtered(key: str, function: Callable[[Tabs], DataFrame]) -> None:
+    on_fleet(key, lambda f: function(f.filtered))
 
 
 def on_devices(key: str, function: Callable[[DataFrame], DataFrame]) -> None:
@@ -77,7 +109,7 @@ def on_scored(key: str, function: Callable[[DataFrame], DataFrame]) -> None:
 
 @query("tabs_row_counts")
 def tabs_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    tabs = {n: t for n, t in bind_tabs(spark, d).items()}
+    tabs = fleet(spark, d).tabs
     kept = filters.apply_filters(tabs)
     stages = {"raw": tabs, "filtered": kept}
     parts = [
@@ -119,7 +151,7 @@ on_tabs(
 
 @query("cross_source_filter")
 def cross_source_filter(spark: SparkSession, d: str) -> DataFrame:
-    tabs = bind_tabs(spark, d)
+    tabs = fleet(spark, d).tabs
     kept = filters.drop_cross_source(
         filters.filter_catctr(tabs["CatCtr"]), tabs["PrimeAP"], tabs["PrimeWLC"], tabs["NA"]
     )
@@ -158,44 +190,34 @@ on_tabs(
         "device_name", "device_source", "source_row_index", "device_type"
     ),
 )
-on_tabs(
+on_filtered(
     "device_dedup",
-    lambda t: dataset.best_source_rows(dataset.device_union(filtered(t))).select(
+    lambda t: dataset.best_source_rows(dataset.device_union(t)).select(
         "device_name", "device_source", "source_row_index", "device_model"
     ),
 )
-on_tabs("device_codes", lambda t: dataset.deduplicated(filtered(t)).select("device_name", "state_code", "site_code"))
-on_tabs("location_dim", lambda t: dataset.location_dim(filtered(t)["SOLID"], filtered(t)["SOLID-Loc"]))
-on_tabs("model_dim", lambda t: dataset.model_dim(filters.filter_modeldata(t["ModelData"])))
+on_filtered("device_codes", lambda t: dataset.deduplicated(t).select("device_name", "state_code", "site_code"))
+on_filtered("location_dim", lambda t: dataset.location_dim(t["SOLID"], t["SOLID-Loc"]))
+on_filtered("model_dim", lambda t: dataset.model_dim(t["ModelData"]))
 on_tabs("pricing_rollup", lambda t: dataset.pricing_rollup(t["Pricing"]))
 on_tabs("pricing_dim", lambda t: dataset.pricing_dim(t["Pricing"]))
-
-
-@query("device_location")
-def device_location(spark: SparkSession, d: str) -> DataFrame:
-    tabs = filtered(bind_tabs(spark, d))
-    located = dataset.join_location(
-        dataset.deduplicated(tabs), dataset.location_dim(tabs["SOLID"], tabs["SOLID-Loc"])
-    )
-    return located.select(
+on_fleet(
+    "device_location",
+    lambda f: dataset.join_location(dataset.deduplicated(f.filtered), f.dims.location).select(
         "device_name", "loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "loc_longitude",
         "location_matched",
-    )
-
-
-@query("device_model_join")
-def device_model_join(spark: SparkSession, d: str) -> DataFrame:
-    tabs = filtered(bind_tabs(spark, d))
-    joined = dataset.join_model(dataset.deduplicated(tabs), dataset.model_dim(tabs["ModelData"]))
-    return joined.select(
+    ),
+)
+on_fleet(
+    "device_model_join",
+    lambda f: dataset.join_model(dataset.deduplicated(f.filtered), f.dims.model).select(
         "device_name", "modeldata_model", "modeldata_category", "modeldata_eol", "modeldata_material_cost",
         "repl_device_key",
-    )
-
-
-on_tabs("device_dataset", dataset.devices_from_tabs)
-on_tabs("clean_devices", lambda t: dataset.clean_devices(dataset.devices_from_tabs(t)))
-on_tabs("join_fanout", lambda t: dataset.join_fanout(filtered(t)))
+    ),
+)
+on_fleet("device_dataset", lambda f: dataset.device_dataset(f.filtered, f.dims))
+on_fleet("clean_devices", lambda f: dataset.clean_devices(dataset.device_dataset(f.filtered, f.dims)))
+on_fleet("join_fanout", lambda f: dataset.join_fanout(f.filtered, f.dims))
 on_devices("reconciliation", dataset.reconciliation)
 on_devices(
     "load_devices",

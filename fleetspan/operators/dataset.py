@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_segment, normalize_key, require_columns, to_double
 from ..sources.tabs import ROW_INDEX, Tabs, check_dataset_tabs
 from .filters import apply_filters
-from .sizing import join_dimension
+from .sizing import Dimension, join_dimension, settle
 
 
 @dataclass(frozen=True)
@@ -321,22 +321,46 @@ def unique_rows(dim: DataFrame, key: list[str]) -> DataFrame:
     return dim.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).drop("_place")
 
 
+@dataclass(frozen=True)
+class Dimensions:
+    """The three written dimensions of a build; several datasets and reports may share them."""
+
+    location: Dimension
+    model: Dimension
+    pricing: Dimension
+
+
+def dimensions(tabs: Tabs, unique: bool = False) -> Dimensions:
+    """Dimensions from filtered tabs.
+
+    Duplicate keys multiply devices (see ``join_fanout``) unless ``unique`` is set.
+    """
+    check_dataset_tabs(tabs)
+    location = location_dim(tabs["SOLID"], tabs["SOLID-Loc"])
+    model = model_dim(tabs["ModelData"])
+    pricing = pricing_dim(tabs["Pricing"])
+    if unique:
+        location = unique_rows(location, ["loc_state", "loc_site_code"])
+        model = unique_rows(model, ["model_key"])
+        pricing = unique_rows(pricing, ["parent_product_key"])
+    return Dimensions(settle(location), settle(model), settle(pricing))
+
+
 # --- joins -------------------------------------------------------------------
 
 
-def join_location(devices: DataFrame, location: DataFrame) -> DataFrame:
-    joined = join_dimension(
-        devices, location, [("state_code", "loc_state"), ("site_code", "loc_site_code")], spread_by="device_name"
-    )
+def join_location(devices: DataFrame, location: Dimension) -> DataFrame:
+    on = [("state_code", "loc_state"), ("site_code", "loc_site_code")]
+    joined = join_dimension(devices, location, on, spread_by="device_name")
     return joined.withColumn("location_matched", F.col("loc_site_name").isNotNull())
 
 
-def join_model(devices: DataFrame, model: DataFrame) -> DataFrame:
+def join_model(devices: DataFrame, model: Dimension) -> DataFrame:
     """Null-safe: devices without a model meet model rows without a name."""
     return join_dimension(devices, model, [("device_model", "model_key")], spread_by="device_name", null_safe=True)
 
 
-def join_pricing(devices: DataFrame, pricing: DataFrame) -> DataFrame:
+def join_pricing(devices: DataFrame, pricing: Dimension) -> DataFrame:
     return join_dimension(devices, pricing, [("repl_device_key", "parent_product_key")], spread_by="device_name")
 
 
@@ -345,27 +369,17 @@ def deduplicated(tabs: Tabs) -> DataFrame:
     return with_codes(best_source_rows(with_device_type(device_union(tabs))))
 
 
-def device_dataset(tabs: Tabs, unique_dimensions: bool = False) -> DataFrame:
-    """The device dataset from filtered tabs.
-
-    Duplicate keys in a dimension multiply devices (see ``join_fanout``) unless
-    ``unique_dimensions`` is set.
-    """
+def device_dataset(tabs: Tabs, dims: Dimensions | None = None) -> DataFrame:
+    """The device dataset from filtered tabs; ``dims`` reuses dimensions built before."""
     check_dataset_tabs(tabs)
-    location = location_dim(tabs["SOLID"], tabs["SOLID-Loc"])
-    model = model_dim(tabs["ModelData"])
-    pricing = pricing_dim(tabs["Pricing"])
-    if unique_dimensions:
-        location = unique_rows(location, ["loc_state", "loc_site_code"])
-        model = unique_rows(model, ["model_key"])
-        pricing = unique_rows(pricing, ["parent_product_key"])
-    joined = join_pricing(join_model(join_location(deduplicated(tabs), location), model), pricing)
-    return ordered(joined.drop(*HELPERS))
+    dims = dims or dimensions(tabs)
+    joined = join_model(join_location(deduplicated(tabs), dims.location), dims.model)
+    return ordered(join_pricing(joined, dims.pricing).drop(*HELPERS))
 
 
-def devices_from_tabs(tabs: Tabs) -> DataFrame:
+def devices_from_tabs(tabs: Tabs, dims: Dimensions | None = None) -> DataFrame:
     """Filter the tabs and build the dataset, without the redundant anti-joins."""
-    return device_dataset(apply_filters(tabs, cross_source=False))
+    return device_dataset(apply_filters(tabs, cross_source=False), dims)
 
 
 def ordered(df: DataFrame) -> DataFrame:
@@ -397,32 +411,26 @@ def reconciliation(devices: DataFrame) -> DataFrame:
     )
 
 
-def join_fanout(tabs: Tabs) -> DataFrame:
+def join_fanout(tabs: Tabs, dims: Dimensions | None = None) -> DataFrame:
     """Rows after each join step, from filtered tabs.
 
     Nothing is fanned out to be counted: the dimensions are reduced to matches
     per key, and one pass over the devices sums the products.
     """
-    one = F.lit(1).cast("bigint")
-    sites = (
-        location_dim(tabs["SOLID"], tabs["SOLID-Loc"])
-        .groupBy("loc_state", "loc_site_code")
-        .agg(F.count(F.lit(1)).alias("n_site"))
-    )
-    prices = pricing_dim(tabs["Pricing"]).groupBy("parent_product_key").agg(F.count(F.lit(1)).alias("n_price"))
+    dims = dims or dimensions(tabs)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0)
+    sites = dims.location.table.groupBy("loc_state", "loc_site_code").agg(F.count(F.lit(1)).alias("n_site"))
+    prices = dims.pricing.table.groupBy("parent_product_key").agg(F.count(F.lit(1)).alias("n_price"))
     models = (
-        model_dim(tabs["ModelData"])
-        .join(prices, F.col("repl_device_key") == F.col("parent_product_key"), "left")
+        dims.model.table.join(prices, F.col("repl_device_key") == F.col("parent_product_key"), "left")
         .groupBy("model_key")
         .agg(F.count(F.lit(1)).alias("n_model"), F.sum(F.coalesce("n_price", one)).alias("n_model_price"))
     )
     devices = deduplicated(tabs).select("device_name", "state_code", "site_code", "device_model")
-    devices = join_dimension(
-        devices, sites, [("state_code", "loc_state"), ("site_code", "loc_site_code")], spread_by="device_name"
-    )
-    devices = join_dimension(devices, models, [("device_model", "model_key")], "device_name", null_safe=True)
+    on_site = [("state_code", "loc_state"), ("site_code", "loc_site_code")]
+    devices = join_dimension(devices, settle(sites), on_site, "device_name")
+    devices = join_dimension(devices, settle(models), [("device_model", "model_key")], "device_name", null_safe=True)
     site = F.coalesce("n_site", one)
-    zero = F.lit(0)
     steps = {
         "1_devices": F.count(F.lit(1)),
         "2_location": F.coalesce(F.sum(site), zero),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it was counted and stays below both bounds.
@@ -14,18 +15,31 @@ BROADCAST_ROWS = 1_000_000
 FALLBACK_SALTS = 16
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and approximate bytes, by one aggregate that runs where the data is."""
+@dataclass(frozen=True)
+class Dimension:
+    """A written dimension table with its measured size."""
+
+    table: DataFrame
+    n_rows: int
+    n_bytes: int
+
+    @property
+    def fits_broadcast(self) -> bool:
+        return self.n_rows <= BROADCAST_ROWS and self.n_bytes <= BROADCAST_BYTES
+
+
+def settle(df: DataFrame) -> Dimension:
+    """Write a dimension once, counting its rows and text bytes while it is written.
+
+    The joins that follow know its true size and do not compute it again.
+    """
     width = F.lit(16 * len(df.columns))
     for name in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows, size
-
-
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
-    rows, size = measure(df)
-    return rows <= max_rows and size <= max_bytes
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("n_bytes"))
+    table = written_table(counted)
+    return Dimension(table, seen.get["n_rows"], seen.get["n_bytes"])
 
 
 def _splits_skew(spark: SparkSession) -> bool:
@@ -45,28 +59,27 @@ def _match(pairs: list[tuple[str, str]], null_safe: bool) -> Column:
 
 def join_dimension(
     facts: DataFrame,
-    dim: DataFrame,
+    dim: Dimension,
     on: list[tuple[str, str]],
     spread_by: str,
     null_safe: bool = False,
-    max_bytes: int = BROADCAST_BYTES,
     salts: int | None = None,
 ) -> DataFrame:
     """Left outer join of facts with a dimension; every match is kept.
 
-    * A dimension measured below the bound is broadcast, so the facts stay where they are.
+    * A dimension measured below the bounds is broadcast, so the facts stay where they are.
     * A larger one is joined by shuffle, where adaptive execution splits a key that
       holds many facts.
     * Where the session has that switched off (or ``salts`` is given), the facts of
       a key are spread by a hash of ``spread_by`` over copies of the dimension row.
     """
-    if salts is None and fits_broadcast(dim, max_bytes):
-        return facts.join(F.broadcast(dim), _match(on, null_safe), "left")
+    if salts is None and dim.fits_broadcast:
+        return facts.join(F.broadcast(dim.table), _match(on, null_safe), "left")
     if salts is None and _splits_skew(facts.sparkSession):
-        return facts.join(dim, _match(on, null_safe), "left")
+        return facts.join(dim.table, _match(on, null_safe), "left")
     n = salts or FALLBACK_SALTS
     spread = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
-    copies = dim.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    copies = dim.table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     same = _match(on, null_safe) & (F.col("_salt") == F.col("_copy"))
     return spread.join(copies, same, "left").drop("_salt", "_copy")
 

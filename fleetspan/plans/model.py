@@ -21,7 +21,7 @@ from ..functions.scores import CLASSES, best_class, weight_array, weighted
 from ..functions.text import require_columns, to_double, with_optional
 from ..operators.dataset import NOT_ANALYSED, SPARSE
 from ..operators.ordered import PARTS, exact_percentiles, running_sums
-from ..operators.sizing import join_dimension, written_table
+from ..operators.sizing import join_dimension, settle, written_table
 from .evaluation import check_classes, weight_grid
 from .inferences import class_label
 
@@ -208,12 +208,12 @@ def group_splits(groups: DataFrame) -> DataFrame:
     other = second.select(
         F.col("model_group").alias("_group"), F.when(F.col("held_out"), "val").otherwise("train").alias("split")
     )
-    return written_table(test.unionAll(other))
+    return test.unionAll(other)
 
 
 def split_rows(rows: DataFrame) -> DataFrame:
     """Training rows with the column ``split``; groups stay together."""
-    splits = group_splits(written_table(group_table(rows)))
+    splits = settle(group_splits(written_table(group_table(rows))))
     return join_dimension(rows, splits, [("model_group", "_group")], spread_by="device_name").drop("_group")
 
 

@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import null_tokens, snake_columns, with_optional
+from ..functions.text import null_tokens, snake_columns
 
 # Tab names in their required order.
 TAB_ORDER = (
@@ -66,19 +66,19 @@ def check_dataset_tabs(tabs: Tabs) -> None:
         raise ValueError(f"required tabs are missing: {missing}")
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    """Every cell as text; the row index stays a long."""
-    return df.select(
-        *[F.col(f"`{n}`").cast("bigint" if n == ROW_INDEX else "string").alias(n) for n in df.columns]
-    )
-
-
 def conform(name: str, df: DataFrame) -> DataFrame:
-    """One tab as text, with the columns it is read for present."""
-    columns = dict.fromkeys(TAB_COLUMNS[name], "string")
-    if name in INVENTORY_TABS:
-        columns[ROW_INDEX] = "bigint"
-    return with_optional(as_text(df), columns)
+    """One tab with every cell as text and the columns it is read for present.
+
+    The row index stays a long.
+    """
+    columns = [*df.columns, *(c for c in TAB_COLUMNS[name] if c not in df.columns)]
+    if name in INVENTORY_TABS and ROW_INDEX not in columns:
+        columns.append(ROW_INDEX)
+    cells = []
+    for c in columns:
+        cell = F.col(f"`{c}`") if c in df.columns else F.lit(None)
+        cells.append(cell.cast("bigint" if c == ROW_INDEX else "string").alias(c))
+    return df.select(*cells)
 
 
 def number_rows(df: DataFrame) -> DataFrame:
