@@ -18,8 +18,11 @@ NA_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Unicode white space plus the four ASCII separators, which text tools also strip.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# White space of any kind, with the four ASCII separators.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 
@@ -28,8 +31,11 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing white space of any kind (``trim`` knows blanks only)."""
-    return F.regexp_replace(col(c), _EDGE_SPACE, "")
+    """Remove leading and trailing white space of any kind.
+
+    Plain ``trim`` knows blanks only; a pattern would scan every text to its end.
+    """
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def normalize_key(c: Column | str, strip_domain: bool = False) -> Column:
