@@ -255,18 +255,18 @@ on_findings(
 on_devices("site_clusters", lambda df: rounded(clusters.site_clusters(df, AS_OF), "remaining_days_avg"))
 on_devices(
     "clusters_by_state",
-    lambda df: rounded(clusters.in_state(clusters.site_clusters(df, AS_OF), " ac "), "remaining_days_avg"),
+    lambda df: rounded(clusters.in_state(clusters.cluster_table(df, AS_OF), " ac "), "remaining_days_avg"),
 )
 on_devices(
     "metric_domain",
     lambda df: rounded(
-        clusters.metric_domain(written_table(clusters.site_clusters(df, AS_OF))), "metric_min", "metric_max"
+        clusters.metric_domain(written_table(clusters.cluster_table(df, AS_OF))), "metric_min", "metric_max"
     ),
 )
 on_devices(
     "cluster_urgency",
     lambda df: rounded(
-        clusters.cluster_urgency(written_table(clusters.site_clusters(df, AS_OF))), "urgency_position", "base_radius"
+        clusters.cluster_urgency(written_table(clusters.cluster_table(df, AS_OF))), "urgency_position", "base_radius"
     ),
 )
 

@@ -18,7 +18,7 @@ FAMILY_NAMES = {"Unified AP": "AP", "Routers": "Router", "Switches and Hubs": "S
 
 
 def active_sites(sites: DataFrame, decom: DataFrame) -> DataFrame:
-    return absent_from(sites, "site_code", decom, "site_cd")
+    return absent_from(sites, "site_code", (decom, "site_cd"))
 
 
 def cut_hosts(catctr: DataFrame) -> DataFrame:
@@ -55,13 +55,15 @@ def drop_cross_source(catctr: DataFrame, prime_ap: DataFrame, prime_wlc: DataFra
     """Remove hosts that a better source lists. ``catctr`` must be filtered already.
 
     The names are compared as they stand, so case differences are not caught here.
+    The last inventory is checked against all three others at once: whether their
+    own duplicates are gone by then makes no difference to the set of names.
     """
-    prime_ap = absent_from(prime_ap, "name", catctr, "hostname")
-    prime_wlc = absent_from(prime_wlc, "devicename", catctr, "hostname")
-    na = absent_from(na, "host_name", catctr, "hostname")
-    na = absent_from(na, "host_name", prime_ap, "name")
-    na = absent_from(na, "host_name", prime_wlc, "devicename")
-    return {"PrimeAP": prime_ap, "PrimeWLC": prime_wlc, "NA": na}
+    best, ap, wlc = (catctr, "hostname"), (prime_ap, "name"), (prime_wlc, "devicename")
+    return {
+        "PrimeAP": absent_from(prime_ap, "name", best),
+        "PrimeWLC": absent_from(prime_wlc, "devicename", best),
+        "NA": absent_from(na, "host_name", best, ap, wlc),
+    }
 
 
 def apply_filters(tabs: Tabs, cross_source: bool = True) -> Tabs:
@@ -70,7 +72,7 @@ def apply_filters(tabs: Tabs, cross_source: bool = True) -> Tabs:
     ``cross_source=False`` leaves out the anti-joins between inventories. The
     device dataset is the same without them: a row they remove has the name of a
     row of a better source, and the choice of one row per name drops it anyway.
-    That saves five shuffles of the inventories.
+    That saves shuffling every inventory once more.
     """
     check_tab_set(tabs)
     catctr = filter_catctr(tabs["CatCtr"])
@@ -88,8 +90,7 @@ def apply_filters(tabs: Tabs, cross_source: bool = True) -> Tabs:
 def filter_audit(tabs: Tabs) -> DataFrame:
     """Rows each filter step matches, each step seeing what the earlier ones left."""
     hosts = filter_catctr(tabs["CatCtr"])
-    ap_left = absent_from(tabs["PrimeAP"], "name", hosts, "hostname")
-    wlc_left = absent_from(tabs["PrimeWLC"], "devicename", hosts, "hostname")
+    best = (hosts, "hostname")
 
     unreachable = F.coalesce(F.col("reachabilitystatus").isin(*UNREACHABLE), F.lit(False))
     cat = cut_hosts(tabs["CatCtr"]).agg(
@@ -98,9 +99,11 @@ def filter_audit(tabs: Tabs) -> DataFrame:
             ("no_hostname", "CatCtr", F.count_if(~unreachable & F.col("hostname").isNull())),
         )
     )
-    na = mark_members(tabs["NA"], "host_name", hosts, "hostname", "in_cat")
-    na = mark_members(na, "host_name", ap_left, "name", "in_ap")
-    na = mark_members(na, "host_name", wlc_left, "devicename", "in_wlc")
+    na = mark_members(
+        tabs["NA"],
+        "host_name",
+        {"in_cat": best, "in_ap": (tabs["PrimeAP"], "name"), "in_wlc": (tabs["PrimeWLC"], "devicename")},
+    )
     kept = ~F.col("in_cat") & ~F.col("in_ap") & ~F.col("in_wlc")
     inactive = F.col("device_status").eqNullSafe(INACTIVE)
     typed = F.coalesce(F.col("device_type").isin(*OUT_OF_SCOPE_TYPES), F.lit(False))
@@ -115,14 +118,14 @@ def filter_audit(tabs: Tabs) -> DataFrame:
     )
     category = F.coalesce(F.col("category").isin(*OUT_OF_SCOPE_CATEGORIES), F.lit(False))
     parts = [
-        present_in(tabs["SOLID"], "site_code", tabs["Decom"], "site_cd").agg(
+        present_in(tabs["SOLID"], "site_code", (tabs["Decom"], "site_cd")).agg(
             _steps(("decommissioned", "SOLID", F.count(F.lit(1))))
         ),
         cat,
-        present_in(tabs["PrimeAP"], "name", hosts, "hostname").agg(
+        present_in(tabs["PrimeAP"], "name", best).agg(
             _steps(("in_catctr", "PrimeAP", F.count(F.lit(1))))
         ),
-        present_in(tabs["PrimeWLC"], "devicename", hosts, "hostname").agg(
+        present_in(tabs["PrimeWLC"], "devicename", best).agg(
             _steps(("in_catctr", "PrimeWLC", F.count(F.lit(1))))
         ),
         na,
@@ -144,16 +147,16 @@ def overlap_hosts(tabs: Tabs) -> DataFrame:
     """Hosts of the last inventory that another one lists too, before any filter."""
     na, ap, wlc = tabs["NA"], tabs["PrimeAP"], tabs["PrimeWLC"]
     parts = [
-        present_in(na, "host_name", ap, "name").withColumn("also_in", F.lit("PrimeAP")),
-        present_in(na, "host_name", wlc, "devicename").withColumn("also_in", F.lit("PrimeWLC")),
+        present_in(na, "host_name", (ap, "name")).withColumn("also_in", F.lit("PrimeAP")),
+        present_in(na, "host_name", (wlc, "devicename")).withColumn("also_in", F.lit("PrimeWLC")),
     ]
     return parts[0].unionByName(parts[1]).select("also_in", "host_name", "device_model", "source_row_index")
 
 
 def site_coverage_gaps(solid: DataFrame, solid_loc: DataFrame) -> DataFrame:
     """Sites listed on one side only."""
-    left = absent_from(solid, "site_code", solid_loc, "site_code")
-    right = absent_from(solid_loc, "site_code", solid, "site_code")
+    left = absent_from(solid, "site_code", (solid_loc, "site_code"))
+    right = absent_from(solid_loc, "site_code", (solid, "site_code"))
     return left.select(F.lit("SOLID").alias("only_in"), "site_code", "site_name").unionAll(
         right.select(F.lit("SOLID-Loc").alias("only_in"), "site_code", "site_name")
     )

@@ -84,29 +84,39 @@ def join_dimension(
     return spread.join(copies, same, "left").drop("_salt", "_copy")
 
 
-def _member_keys(other: DataFrame, key: str) -> DataFrame:
-    # Distinct first: a key repeated on the right is merged before it is shuffled,
-    # and a hot key on the left can be split against a single right row.
-    return other.select(F.col(key).alias("_member")).distinct()
+Keys = tuple[DataFrame, str]
 
 
-def absent_from(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """Rows whose key does not occur on the other side; null matches null."""
-    keys = _member_keys(other, other_key)
-    return df.join(keys, F.col(key).eqNullSafe(F.col("_member")), "left_anti")
+def _members(keys: dict[str, Keys]) -> DataFrame:
+    """Every key of the given tables once, with a flag per table it occurs in.
+
+    Merging them first means that a key repeated on this side is combined before
+    the shuffle, that several tables cost one join, and that a hot key on the
+    other side meets a single row and can be split by adaptive execution.
+    """
+    parts = None
+    for flag, (table, key) in keys.items():
+        part = table.select(F.col(key).alias("_member"), *[F.lit(f == flag).alias(f) for f in keys])
+        parts = part if parts is None else parts.unionAll(part)
+    return parts.groupBy("_member").agg(*[F.max(f).alias(f) for f in keys])
+
+
+def absent_from(df: DataFrame, key: str, *others: Keys) -> DataFrame:
+    """Rows whose key occurs in none of the other tables; null matches null."""
+    members = _members({f"_in{i}": o for i, o in enumerate(others)}).select("_member")
+    return df.join(members, F.col(key).eqNullSafe(F.col("_member")), "left_anti")
 
 
-def present_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """Rows whose key occurs on the other side; null matches null."""
-    keys = _member_keys(other, other_key)
-    return df.join(keys, F.col(key).eqNullSafe(F.col("_member")), "left_semi")
+def present_in(df: DataFrame, key: str, *others: Keys) -> DataFrame:
+    """Rows whose key occurs in one of the other tables; null matches null."""
+    members = _members({f"_in{i}": o for i, o in enumerate(others)}).select("_member")
+    return df.join(members, F.col(key).eqNullSafe(F.col("_member")), "left_semi")
 
 
-def mark_members(df: DataFrame, key: str, other: DataFrame, other_key: str, flag: str) -> DataFrame:
-    """Add a boolean: does the key occur on the other side? Null matches null."""
-    keys = _member_keys(other, other_key).withColumn("_hit", F.lit(True))
-    joined = df.join(keys, F.col(key).eqNullSafe(F.col("_member")), "left")
-    return joined.withColumn(flag, F.col("_hit").isNotNull()).drop("_member", "_hit")
+def mark_members(df: DataFrame, key: str, others: dict[str, Keys]) -> DataFrame:
+    """Add a flag per other table: does the key occur there? Null matches null."""
+    joined = df.join(_members(others), F.col(key).eqNullSafe(F.col("_member")), "left").drop("_member")
+    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in others})
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -38,6 +38,17 @@ def check_site(site_code: str) -> str:
 
 def site_clusters(devices: DataFrame, as_of: dt.date | str) -> DataFrame:
     """One row per mapped site: size, overdue devices, plain and weighted remaining days."""
+    return largest_first(cluster_table(devices, as_of))
+
+
+def largest_first(clusters: DataFrame) -> DataFrame:
+    return clusters.orderBy(
+        F.desc("device_count"), "loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "loc_longitude"
+    )
+
+
+def cluster_table(devices: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """The clusters in no particular order."""
     frame = lifecycle_measures(with_lifecycle(mappable(devices), as_of))
     return (
         frame.groupBy(*CLUSTER_KEYS)
@@ -50,7 +61,6 @@ def site_clusters(devices: DataFrame, as_of: dt.date | str) -> DataFrame:
             total("weighted_days", "remaining_days_weighted_total"),
         )
         .withColumn("cluster_id", F.concat("loc_state", F.lit("-"), "loc_site_code"))
-        .orderBy(F.desc("device_count"), "loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "loc_longitude")
     )
 
 
@@ -117,9 +127,8 @@ def cluster_urgency(clusters: DataFrame, state: str | None = None) -> DataFrame:
 
 def cluster_payload(devices: DataFrame, as_of: dt.date | str, state: str | None = None) -> dict[str, DataFrame]:
     """Clusters of the scope and their scale, over one written site table."""
-    clusters = written_table(site_clusters(devices, as_of))
-    scope = in_state(clusters, state).orderBy(F.desc("device_count"), "loc_state", "loc_site_code")
-    return {"clusters": scope, "scale": metric_domain(clusters, state)}
+    clusters = written_table(cluster_table(devices, as_of))
+    return {"clusters": largest_first(in_state(clusters, state)), "scale": metric_domain(clusters, state)}
 
 
 def location_summaries(devices: DataFrame, as_of: dt.date | str, horizon_days: int = DEFAULT_HORIZON_DAYS) -> DataFrame:
