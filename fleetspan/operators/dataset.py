@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_segment, normalize_key, require_columns, to_double
+from ..functions.text import first_segment, normalize_key, require_columns, strip, to_double
 from ..sources.tabs import ROW_INDEX, Tabs, check_dataset_tabs
 from .filters import apply_filters
 from .sizing import Dimension, join_dimension, settle
@@ -141,17 +141,22 @@ NOT_ANALYSED = (
 
 
 def source_frame(source: Source, tab: DataFrame) -> DataFrame:
-    """One inventory in device columns; rows without a name are left out."""
+    """One inventory in device columns; rows without a name are left out.
+
+    The name is empty instead of null until the filter. Being never null, it
+    spares the plan null checks, each of which would compute the name again.
+    """
+    name = F.coalesce(F.substring_index(F.upper(strip(source.id_column)), ".", 1), F.lit(""))
     raw_model = normalize_key(source.model_column)
     return tab.select(
         F.lit(source.name).alias("device_source"),
         F.col(source.id_column).alias("source_device_id"),
-        normalize_key(source.id_column, strip_domain=True).alias("device_name"),
+        name.alias("device_name"),
         raw_model.alias("device_model_raw"),
         first_segment(raw_model).alias("device_model"),
         F.col(ROW_INDEX),
         *[F.col(old).alias(new) for old, new in source.extras.items() if old in tab.columns],
-    ).filter(F.col("device_name").isNotNull())
+    ).filter(F.col("device_name") != "")
 
 
 def device_union(tabs: Tabs) -> DataFrame:
@@ -163,16 +168,16 @@ def device_union(tabs: Tabs) -> DataFrame:
     return out
 
 
-def type_from_text(c: Column | str) -> Column:
-    text = normalize_key(c)
+def type_from_text(text: Column) -> Column:
+    """Device type that a normalised type text implies."""
     out = F.lit(None).cast("string")
     for name, pattern in TYPE_PATTERNS:
         out = F.when(text.rlike("(?U)" + pattern), name).otherwise(out)
     return out
 
 
-def type_from_family(c: Column | str) -> Column:
-    family = normalize_key(c)
+def type_from_family(family: Column) -> Column:
+    """Device type of a normalised family, if it names one."""
     out = F.lit(None).cast("string")
     for raw, name in FAMILY_TYPES.items():
         out = F.when(family == raw, name).otherwise(out)
@@ -181,13 +186,20 @@ def type_from_family(c: Column | str) -> Column:
 
 def with_device_type(devices: DataFrame) -> DataFrame:
     source = F.col("device_source")
-    by_text = type_from_text("device_type_raw")
-    return devices.withColumn(
-        "device_type",
-        F.when(source == "CatCtr", F.coalesce(type_from_family("device_family_raw"), by_text))
-        .when(source == "PrimeAP", "AP")
-        .when(source == "PrimeWLC", "Wireless Controller")
-        .when(source == "NA", by_text),
+    family, by_text = type_from_family(F.col("_family")), type_from_text(F.col("_text"))
+    # The texts are normalised once, in a projection of their own.
+    return (
+        devices.withColumns(
+            {"_family": normalize_key("device_family_raw"), "_text": normalize_key("device_type_raw")}
+        )
+        .withColumn(
+            "device_type",
+            F.when(source == "PrimeAP", "AP")
+            .when(source == "PrimeWLC", "Wireless Controller")
+            .when(source == "CatCtr", F.coalesce(family, by_text))
+            .when(source == "NA", by_text),
+        )
+        .drop("_family", "_text")
     )
 
 
