@@ -37,11 +37,14 @@ _SITE_UPPER = _SITE.format("ABCDEFGHIJ")
 _SITE_LOWER = _SITE.format("abcdefghij")
 
 VIEWS = {
-    # Device names and row positions.
+    # Device names and row positions. Rows with one name and one position are equal in
+    # every column, so that the position settles the order of a name's rows.
     "dev_raw": f"""
 select l_linenumber % 4 as src_no,
   concat({_STATE}, {_SITE_UPPER}, '-', cast(l_orderkey as string)) as nm,
-  l_orderkey * 1000000000 + l_partkey * 10 + l_linenumber as source_row_index,
+  (((l_partkey * 10 + l_linenumber) * 100 + cast(l_quantity as bigint)) * 100 + cast(round(l_tax * 100) as bigint)) * 10
+    + case l_returnflag when 'A' then 0 when 'N' then 2 else 4 end
+    + case l_linestatus when 'F' then 0 else 1 end as source_row_index,
   l_partkey, cast(l_quantity as int) as qty, l_returnflag, l_linestatus, cast(round(l_tax * 100) as int) as tax
 from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey""",
     # One representative supplier per site: a code has three characters, so larger
