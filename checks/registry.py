@@ -406,8 +406,9 @@ def ml_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_train_score")
 def ml_train_score(spark: SparkSession, d: str) -> DataFrame:
-    frame = written_table(devices(spark, d))
-    fitted, _ = model.train_lifecycle_model(frame, AS_OF, TRAINING)
+    frame, features = model.model_input(devices(spark, d))
+    frame = written_table(frame)
+    fitted, _ = model.train_lifecycle_model(frame, AS_OF, TRAINING, features)
     return model.score_unknown(fitted, frame)
 
 

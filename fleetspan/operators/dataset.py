@@ -355,7 +355,7 @@ def dimensions(tabs: Tabs, unique: bool = False) -> Dimensions:
         location = unique_rows(location, ["loc_state", "loc_site_code"])
         model = unique_rows(model, ["model_key"])
         pricing = unique_rows(pricing, ["parent_product_key"])
-    return Dimensions(settle(location), settle(model), settle(pricing))
+    return Dimensions(*settle(location, model, pricing))
 
 
 # --- joins -------------------------------------------------------------------
@@ -440,8 +440,9 @@ def join_fanout(tabs: Tabs, dims: Dimensions | None = None) -> DataFrame:
     )
     devices = deduplicated(tabs).select("device_name", "state_code", "site_code", "device_model")
     on_site = [("state_code", "loc_state"), ("site_code", "loc_site_code")]
-    devices = join_dimension(devices, settle(sites), on_site, "device_name")
-    devices = join_dimension(devices, settle(models), [("device_model", "model_key")], "device_name", null_safe=True)
+    n_site, n_model = settle(sites, models)
+    devices = join_dimension(devices, n_site, on_site, "device_name")
+    devices = join_dimension(devices, n_model, [("device_model", "model_key")], "device_name", null_safe=True)
     site = F.coalesce("n_site", one)
     steps = {
         "1_devices": F.count(F.lit(1)),

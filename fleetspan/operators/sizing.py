@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it was counted and stays below both bounds.
@@ -28,18 +28,23 @@ class Dimension:
         return self.n_rows <= BROADCAST_ROWS and self.n_bytes <= BROADCAST_BYTES
 
 
-def settle(df: DataFrame) -> Dimension:
-    """Write a dimension once, counting its rows and text bytes while it is written.
+def settle(*tables: DataFrame) -> list[Dimension]:
+    """Write dimensions once and measure what was written, all in one job.
 
-    The joins that follow know its true size and do not compute it again.
+    The joins that follow know their true size and do not compute them again.
     """
-    width = F.lit(16 * len(df.columns))
-    for name in df.columns:
-        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("n_bytes"))
-    table = written_table(counted)
-    return Dimension(table, seen.get["n_rows"], seen.get["n_bytes"])
+    written = [written_table(df) for df in tables]
+    sizes = None
+    for place, df in enumerate(written):
+        width = F.lit(16 * len(df.columns))
+        for name in df.columns:
+            width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+        one = df.agg(
+            F.lit(place).alias("place"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("n_bytes")
+        )
+        sizes = one if sizes is None else sizes.unionAll(one)
+    found = {r["place"]: r for r in sizes.collect()}  # one row per dimension
+    return [Dimension(df, found[i]["n_rows"], found[i]["n_bytes"]) for i, df in enumerate(written)]
 
 
 def _splits_skew(spark: SparkSession) -> bool:
@@ -122,14 +127,16 @@ def mark_members(df: DataFrame, key: str, others: dict[str, Keys]) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local session may go without; a cluster needs a folder all executors see.
+    Only a local session may go without and gets a temporary folder; a cluster
+    needs one that all executors see.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="fleetspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetspan-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -74,9 +74,15 @@ def lifecycle_class(days: Column) -> Column:
     return F.when(days < 0, -1).when(days <= DEFAULT_HORIZON_DAYS, 1).otherwise(0)
 
 
-def training_rows(devices: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Known devices with target, model group and features (numbers as doubles)."""
+def model_input(devices: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The columns that training and scoring read, and the names of the features among them."""
     features = feature_columns(devices)
+    return devices.select(*dict.fromkeys([*META, *features])), features
+
+
+def training_rows(devices: DataFrame, as_of: dt.date | str, features: list[str] | None = None) -> DataFrame:
+    """Known devices with target, model group and features (numbers as doubles)."""
+    features = features or feature_columns(devices)
     target = lifecycle_class(days_to_eol("modeldata_eol", as_of))
     return known_eol(devices).select(
         "device_name",
@@ -201,7 +207,7 @@ def hold_out(groups: DataFrame, folds: int, seed: int, share: float) -> DataFram
 
 def group_splits(groups: DataFrame) -> DataFrame:
     """Every model group with its split: test, validation or train."""
-    first = written_table(hold_out(groups, TEST_FOLDS, TEST_SEED, TEST_SHARE))
+    first = hold_out(groups, TEST_FOLDS, TEST_SEED, TEST_SHARE)
     rest = first.filter(~F.col("held_out")).drop("held_out")
     second = hold_out(rest, VALIDATION_FOLDS, VALIDATION_SEED, VALIDATION_SHARE)
     test = first.filter("held_out").select(F.col("model_group").alias("_group"), F.lit("test").alias("split"))
@@ -213,7 +219,7 @@ def group_splits(groups: DataFrame) -> DataFrame:
 
 def split_rows(rows: DataFrame) -> DataFrame:
     """Training rows with the column ``split``; groups stay together."""
-    splits = settle(group_splits(written_table(group_table(rows))))
+    (splits,) = settle(group_splits(written_table(group_table(rows))))
     return join_dimension(rows, splits, [("model_group", "_group")], spread_by="device_name").drop("_group")
 
 
@@ -362,11 +368,17 @@ def decide(scored: DataFrame, weights: dict[int, float], scores: str = "scores")
 
 
 def train_lifecycle_model(
-    devices: DataFrame, as_of: dt.date | str, options: TrainingOptions = TrainingOptions()
+    devices: DataFrame,
+    as_of: dt.date | str,
+    options: TrainingOptions = TrainingOptions(),
+    features: list[str] | None = None,
 ) -> tuple[LifecycleModel, DataFrame]:
-    """Fit on the training split and tune on the validation split; also returns the split rows."""
-    features = feature_columns(devices)
-    split = written_table(split_rows(training_rows(devices, as_of)))
+    """Fit on the training split and tune on the validation split; also returns the split rows.
+
+    ``features`` names the features of a frame already cut down by ``model_input``.
+    """
+    features = features or feature_columns(devices)
+    split = written_table(split_rows(written_table(training_rows(devices, as_of, features))))
     model = fit(split.filter("split = 'train'"), features, options)
     return tune(model, split.filter("split = 'val'")), split
 

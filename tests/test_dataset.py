@@ -151,7 +151,7 @@ def test_dimension_paths_agree(spark, monkeypatch):
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
     )
     dim = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("k5", 4)], "key string, v int")
-    settled = sizing.settle(dim)
+    (settled,) = sizing.settle(dim)
     assert (settled.n_rows, settled.fits_broadcast) == (4, True)
     on = [("k", "key")]
     small = sizing.join_dimension(facts, settled, on, "device_name", null_safe=True)
@@ -177,7 +177,10 @@ def test_normalised_devices_and_files(spark, tmp_path):
     assert (e.loc_state, e.modeldata_eol, e.device_source) == (None, None, "NA")
     assert mappable(normalize_devices(df)).count() == 0
     write_devices(normalize_devices(df), str(tmp_path / "d"), by_state=True)
-    assert load_devices(spark, str(tmp_path / "d")).count() == 2
+    loaded = load_devices(spark, str(tmp_path / "d"))
+    assert loaded.count() == 2
+    text = loaded.filter("loc_state = 'GA'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "PartitionFilters: []" not in text
     with pytest.raises(ValueError, match="device_name"):
         normalize_devices(df.drop("device_name"))
 
