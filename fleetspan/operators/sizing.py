@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -125,27 +124,44 @@ def mark_members(df: DataFrame, key: str, others: dict[str, Keys]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` as the session names it.
 
-    Only a local session may go without and gets a temporary folder; a cluster
-    needs one that all executors see.
+    A session without that setting gets a folder below its warehouse, which all
+    executors resolve in the same way; no machine-local folder is ever used.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetspan-"))
-        folder = context.getCheckpointDir()
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+
+
+# Folders written by this process, by application; see release_tables.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """Name of a fresh folder in the shared folder, remembered for release_tables."""
+    path = f"{shared_folder(spark)}/fleetspan-{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written_table(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back.
 
     Cuts the lineage for results that several later steps read, survives the loss
-    of executors, and gives Catalyst true sizes for the steps that follow.
+    of executors, and gives Catalyst true sizes for the steps that follow. The
+    table stays until ``release_tables``.
     """
-    path = f"{shared_folder(df.sparkSession)}/fleetspan-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written; frames that read them end here."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
