@@ -33,8 +33,9 @@ def frequent_digests(rows: DataFrame, digest: str, tracked: int = TRACKED) -> Da
     small = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate({digest}, {tracked})").alias("sketch")
     )
-    merged = small.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.count(F.lit(1)).alias("n"))
-    found = merged.where("n > 0").select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked // 2})")).alias("top"))
+    # Grouped by a constant: an empty table has no sketch to merge.
+    merged = small.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked // 2})")).alias("top"))
     return found.select(F.col("top.item").alias(digest))
 
 

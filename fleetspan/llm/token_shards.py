@@ -9,6 +9,7 @@ ids, counts and places of an id without decoding, or whole shards.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from fleetspan.operators.sizing import new_folder
 
-SHARD_IDS = 1 << 21  # a shard ends with the document that passes this many ids
+SHARD_IDS = 1 << 19  # a shard ends with the document that passes this many ids
 PARTITION_BYTES = 24 << 20  # text per task
 RANK_BITS = 512  # ones are counted up to each block of so many bits
+# Below this no characters combine or decompose.
+BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
 MEMO_WORDS = 400_000
 MEMO_BYTES = 48
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, doc_sizes array<bigint>, wavelet binary"
@@ -81,12 +84,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes are undone from the last to the first."""
-        at = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        at = np.zeros(self.size, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             before = np.empty_like(at)
             before[~ones] = at[: self.zeros[level]]
-            before[ones] = at[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            before[ones] = at[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             at = before
         return at
 
@@ -162,13 +166,26 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
+        # Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
+
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "surrogatepass")
+        if text.isalpha() and not BEYOND_LATIN.search(text):
+            lower = text.lower()
+            if lower.isalpha():  # one run of letters is one piece for the model
+                return [t.id for t in self.model.tokenize(lower.encode().decode("latin-1").translate(self.alphabet))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
         # Letters and a final mark are separate pieces for the tokenizer.
         if len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].isalpha():
             found = self[word[:-1]] + self[word[-1:]]
         else:
-            found = array("I", self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+            found = array("I", self._encode(word)).tobytes()
         if len(word) <= MEMO_BYTES:
             self[word] = found
         return found
@@ -178,7 +195,7 @@ class WordEncoder(dict):
             return b""
         data = text.encode("utf-8", "surrogatepass")
         # Lower case is the tokenizer's own first step; alike only where no mark can combine and no special token is meant.
-        if b"<|" not in data and (text.isascii() or max(text) < "̀"):
+        if b"<|" not in data and not BEYOND_LATIN.search(text):
             data = data.lower()
         if len(self) > MEMO_WORDS:
             self.clear()
