@@ -36,7 +36,7 @@ DOC_SCHEMA = "part int, doc_id bigint, start_in_part long, n_tokens long, ids_cr
 class WaveletMatrix:
     """Bit planes of a sequence, highest bit first; each plane is ordered by the bits above it."""
 
-    HEAD = struct.Struct("<4sQB")
+    HEAD = "<4sQB"  # mark, ids, planes
 
     def __init__(self, size: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
         self.size, self.zeros, self.planes, self.ranks = size, zeros, planes, ranks
@@ -63,15 +63,15 @@ class WaveletMatrix:
         return np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
 
     def to_bytes(self) -> bytes:
-        head = self.HEAD.pack(b"WVM1", self.size, len(self.planes)) + np.array(self.zeros, "<u4").tobytes()
+        head = struct.pack(self.HEAD, b"WVM1", self.size, len(self.planes)) + np.array(self.zeros, "<u4").tobytes()
         return head + b"".join(p.tobytes() + r.astype("<u4").tobytes() for p, r in zip(self.planes, self.ranks))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, size, bits = cls.HEAD.unpack_from(data)
+        magic, size, bits = struct.unpack_from(cls.HEAD, data)
         if magic != b"WVM1":
             raise ValueError("not a wavelet shard")
-        at = cls.HEAD.size
+        at = struct.calcsize(cls.HEAD)
         zeros = np.frombuffer(data, "<u4", bits, at).tolist()
         at += 4 * bits
         width, counts = -(-size // 8), -(-size // RANK_BITS) + 1
