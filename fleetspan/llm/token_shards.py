@@ -25,9 +25,11 @@ from fleetspan.operators.sizing import new_folder
 SHARD_IDS = 1 << 19  # a shard ends with the document that passes this many ids
 PARTITION_BYTES = 24 << 20  # text per task
 RANK_BITS = 512  # ones are counted up to each block of so many bits
-# Below this no characters combine or decompose.
-BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
-MEMO_WORDS = 400_000
+# Below U+0300 no characters combine or decompose; the superscripts and fractions are numbers but no digits.
+UNUSUAL = re.compile("[^\x00-\u02ff]|[²³¹¼½¾]")
+# Fixed value: the pieces into which the tokenizer cuts usual lower-case text.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w \t\n\x0b\x0c\r\x85\xa0]|_)+")
+MEMO_WORDS = 800_000
 MEMO_BYTES = 48
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, doc_sizes array<bigint>, wavelet binary"
 DOC_SCHEMA = "part int, doc_id bigint, start_in_part long, n_tokens long, ids_crc32 long"
@@ -51,7 +53,7 @@ class WaveletMatrix:
             zeros.append(int(len(at) - np.count_nonzero(ones)))
             planes.append(plane)
             ranks.append(cls._ranks(plane))
-            at = np.concatenate([at[~ones], at[ones]])
+            at = np.concatenate([np.compress(~ones, at), np.compress(ones, at)])
         return cls(len(ids), zeros, planes, ranks)
 
     @staticmethod
@@ -89,8 +91,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             before = np.empty_like(at)
-            before[~ones] = at[: self.zeros[level]]
-            before[ones] = at[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~ones)] = at[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = at[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             at = before
         return at
 
@@ -158,7 +160,7 @@ class WordEncoder(dict):
     """Ids of words as little-endian bytes, encoded when first asked for; a bounded memo.
 
     The tokenizer drops white space and never joins across it, so that a text is
-    the sequence of its words, which are cut at spaces.
+    the sequence of its words, which are cut at ASCII white space.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -172,20 +174,20 @@ class WordEncoder(dict):
         other = iter(range(256, 512))
         self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
 
-    def _encode(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "surrogatepass")
-        if text.isalpha() and not BEYOND_LATIN.search(text):
-            lower = text.lower()
-            if lower.isalpha():  # one run of letters is one piece for the model
-                return [t.id for t in self.model.tokenize(lower.encode().decode("latin-1").translate(self.alphabet))]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        # Letters and a final mark are separate pieces for the tokenizer.
-        if len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].isalpha():
-            found = self[word[:-1]] + self[word[-1:]]
+        if word.isalpha() and word.islower():
+            found = self._piece(word.decode())
         else:
-            found = array("I", self._encode(word)).tobytes()
+            text = word.decode("utf-8", "surrogatepass")
+            if UNUSUAL.search(text) or "<|" in text:
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                pieces = PIECE.findall(text.lower())
+                found = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
         if len(word) <= MEMO_BYTES:
             self[word] = found
         return found
@@ -195,11 +197,11 @@ class WordEncoder(dict):
             return b""
         data = text.encode("utf-8", "surrogatepass")
         # Lower case is the tokenizer's own first step; alike only where no mark can combine and no special token is meant.
-        if b"<|" not in data and not BEYOND_LATIN.search(text):
+        if b"<|" not in data and not UNUSUAL.search(text):
             data = data.lower()
         if len(self) > MEMO_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, data.split(b" ")))
+        return b"".join(map(self.__getitem__, data.split()))
 
 
 def write_token_shards(
