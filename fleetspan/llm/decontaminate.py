@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspan.llm.workers import kept
+
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,12 +210,11 @@ FOUND = ("item_id", "edits", "start_word", "n_words")
 
 def _search(docs: DataFrame, items: list[tuple[object, list[str]]], settings: Decontamination, text: str) -> Column:
     """Arrays of what is found in a text, one element per item."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, settings.__dict__))
+    shared = docs.sparkSession.sparkContext.broadcast({"items": items, "settings": settings.__dict__})
 
     @F.pandas_udf("item_id array<bigint>, edits array<int>, start_word array<int>, n_words array<int>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, options = shared.value
-        index = Items(own, Decontamination(**options))
+        index = kept(shared.value, lambda: Items(shared.value["items"], Decontamination(**shared.value["settings"])))
         for texts in batches:
             found: list[list[tuple]] = [[] for _ in range(len(texts))]
             for t, *rest in index.matches(texts.tolist()):

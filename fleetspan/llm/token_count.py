@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspan.llm.workers import kept
+
 MARK = "▁"
 UNKNOWN = "￾<unk>￾"
 UNKNOWN_PENALTY = 10.0
@@ -120,11 +122,11 @@ class ViterbiCounter(dict):
 
 def token_counter(spark: SparkSession, vocabulary: UnigramVocabulary):
     """A column function text -> number of tokens. The vocabulary is broadcast: its size does not follow the data."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast({"pieces": vocabulary.pieces})
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = ViterbiCounter(shared.value)
+        counter = kept(shared.value, lambda: ViterbiCounter(UnigramVocabulary(shared.value["pieces"])))
         for texts in batches:
             yield pd.Series([counter.text(t) for t in texts], dtype="int64")
 

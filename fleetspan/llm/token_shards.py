@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetspan.llm.workers import kept
 from fleetspan.operators.sizing import new_folder
 
 SHARD_IDS = 1 << 19  # a shard ends with the document that passes this many ids
@@ -220,7 +221,7 @@ def write_token_shards(
     from tokenizers import Tokenizer
 
     bits = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True) - 1, end_id, 1).bit_length()
-    shared = spark.sparkContext.broadcast(tokenizer_json)  # a tokenizer file: its size does not follow the data
+    shared = spark.sparkContext.broadcast({"tokenizer": tokenizer_json})  # a tokenizer file: its size does not follow the data
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.count(F.lit(1)).alias("n_rows")).first()
     parts = 1 + ((size["n_bytes"] or 0) + 16 * size["n_rows"]) // partition_bytes
@@ -228,7 +229,8 @@ def write_token_shards(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(shared.value), struct.pack("<I", end_id)
+        encoder = kept(shared.value, lambda: WordEncoder(shared.value["tokenizer"]))
+        end = struct.pack("<I", end_id)
         part, shard, written = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         sizes: list[int] = []
