@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetspan.operators.sizing import new_folder, written_table
+from fleetspan.operators.sizing import Dimension, join_dimension, new_folder, settle, written_table
 
 # Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
@@ -21,7 +21,6 @@ RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 REVISIT_BYTES = 100  # smaller payloads are always written in full
-SALTS = 16
 RECORDS_PER_FILE = 100_000
 WRITE_DATE = "2026-01-01T00:00:00Z"
 
@@ -33,18 +32,18 @@ def _name(page: Column) -> Column:
 def _with_originals(pages: DataFrame) -> DataFrame:
     """Add ``first_id``: the smallest page of those with the same large payload, where there are several.
 
-    A digest may belong to a third of all pages. Only digests with several pages are
-    joined, and the pages of one are spread over copies of its row.
+    Only digests with several pages are joined. Their table is measured: while it is
+    small the pages stay where they are, beyond that they are shuffled and a digest
+    that belongs to a third of all pages is split.
     """
     several = (
         pages.where(F.col("payload_bytes") >= REVISIT_BYTES)
-        .groupBy("payload_digest")
+        .groupBy(F.col("payload_digest").alias("same_digest"))
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("same_digest", "first_id")
     )
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(several, ["payload_digest", "salt"], "left").drop("salt")
+    return join_dimension(pages, settle(several)[0], [("payload_digest", "same_digest")], spread_by="page_id").drop("same_digest")
 
 
 def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -111,46 +110,55 @@ def _parsed(piece: Column) -> Column:
 
 
 def warc_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The files cut at the version lines, numbered within the part of the file that a task reads; written once."""
+    """The files cut at the version lines, each piece with a number that grows within the part of the file that a task reads; written once."""
     read = spark.read.option("lineSep", VERSION).text(path)
     rows = read.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("number"), F.octet_length("value").cast("long").alias("size"),
         _parsed(F.col("value")).alias("own"), F.col("value").alias("piece"),
     )
-    return written_table(rows)
+    path = new_folder(spark, "pieces")
+    rows.write.option("compression", "zstd").parquet(path)  # holds every payload, so it is packed tightly
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
-    """Pieces with their offset: a running sum of sizes over each file."""
+    """Pieces with a number for their file and their offset: a running sum of sizes over each file."""
+    (files,) = settle(pieces.select(F.col("path").alias("file_path")).distinct().withColumn("file", F.monotonically_increasing_id()))
+    lean = pieces.select("path", "block", "number", "size", F.col("own.used").alias("used"))
     order = Window.partitionBy("file").orderBy("block", "number")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("size") + len(VERSION)).over(before), F.lit(0)) - len(VERSION)
-    return pieces.select("file", "block", "number", "size", F.col("own.used").alias("used"), offset.alias("offset"))
+    numbered = join_dimension(lean, files, [("path", "file_path")], spread_by="number")
+    return numbered.select("file", "number", "size", "used", offset.alias("offset"))
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """Of candidates (file, offset, next), those that the chain from offset 0 of their file reaches.
+    """Of candidates (file, offset, next), the (file, offset) that the chain from offset 0 of their file reaches.
 
     Pointer jumping: each round marks what the marked ones jump to and then doubles
     the jumps, so that the rounds grow with the logarithm of the records in a file.
     """
-    nodes = written_table(candidates.select("file", "offset", "next", F.col("next").alias("jump"), (F.col("offset") == 0).alias("seen")))
+    nodes = written_table(candidates.select("file", "offset", F.col("next").alias("jump"), (F.col("offset") == 0).alias("seen")))
     while True:
         marks = nodes.where("seen").select("file", F.col("jump").alias("offset"), F.lit(True).alias("marked")).distinct()
         further = nodes.select("file", F.col("offset").alias("jump"), F.col("jump").alias("further"))
         stepped = nodes.join(marks, ["file", "offset"], "left").join(further, ["file", "jump"], "left")
         after = written_table(
             stepped.select(
-                "file", "offset", "next", F.coalesce("further", "jump").alias("jump"),
+                "file", "offset", F.coalesce("further", "jump").alias("jump"),
                 (F.col("seen") | F.coalesce("marked", F.lit(False))).alias("seen"), (~F.col("seen") & F.col("marked")).alias("new"),
             )
         )
         if after.where("new").isEmpty():
-            return after.where("seen").select("file", "offset", "next")
+            return after.where("seen").select("file", "offset")
         nodes = after.drop("new")
 
 
+def _measured(side: Dimension) -> DataFrame:
+    return F.broadcast(side.table) if side.fits_broadcast else side.table
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives in a folder.
 
@@ -162,16 +170,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     pieces = warc_pieces(spark, path)
     placed = written_table(_placed(pieces))
     claims = placed.where("used is not null and offset >= 0").select("file", "offset", (F.col("offset") + len(VERSION) + F.col("used")).alias("next"))
-    chain = reachable(claims).select("file", "offset", F.lit(True).alias("record"))
+    chain = reachable(claims).withColumn("record", F.lit(True))
     marked = placed.join(chain, ["file", "offset"], "left")
     order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("start", F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(order))
-    owned = written_table(owned.where("start is not null").withColumn("whole", F.col("record") & (F.col("used") == F.col("size"))))
-    place = ["file", "block", "number"]
+    whole = F.coalesce(F.col("record") & (F.col("used") == F.col("size")), F.lit(False))
+    # All pieces that are no record by themselves: those of records in several pieces and what no chain reaches.
+    other = _measured(settle(owned.where(~whole).select("number", "file", "offset", "start"))[0])
     fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    single = pieces.select(*place, "own").join(owned.where("whole").select(*place), place, "left_semi")
+    single = pieces.select("number", "own").join(other.select("number"), "number", "left_anti")
     # Pieces of one record only: no more than that record has bytes.
-    parts = pieces.select(*place, "piece").join(owned.where("whole is null or not whole").select(*place, "offset", "start"), place)
+    parts = pieces.select("number", "piece").join(other.where("start is not null"), "number")
     joined = parts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
     several = joined.select(_parsed(F.array_join(F.col("parts.piece"), VERSION)).alias("own"))
     return single.select("own").unionAll(several).select(*[F.col(f"own.{f}").alias(f) for f in fields])
