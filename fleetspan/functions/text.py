@@ -67,8 +67,8 @@ def numeric(df: DataFrame, name: str) -> Column:
 
 
 def to_date(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
-    """Date from text in one declared format; other texts are null."""
-    return F.try_to_date(strip(col(c).cast("string")), fmt)
+    """Date from text in one declared format, also with a time of midnight behind it; other texts are null."""
+    return F.try_to_date(F.regexp_replace(strip(col(c).cast("string")), r"[ T]00:00:00(\.0+)?$", ""), fmt)
 
 
 def source_label(c: Column | str) -> Column:

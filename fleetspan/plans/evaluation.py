@@ -148,13 +148,18 @@ def weight_grid(df: DataFrame, actual: str = "actual", scores: str = "scores") -
 
 
 def one_vs_rest(df: DataFrame, actual: str, scores: dict[int, str]) -> DataFrame:
-    """A row per input row and class: is it the class, and the score given to it."""
+    """A row per input row and class: is it the class, and the score given to it. A missing score is an error."""
+
+    def known(name: str) -> Column:
+        score = F.col(name).cast("double")
+        return F.when(score.isNull() | F.isnan(score), F.raise_error(F.lit(f"missing score in {name}")).cast("double")).otherwise(score)
+
     rows = F.array(
         *[
             F.struct(
                 F.lit(c).alias("class_id"),
                 (F.col(actual) == c).cast("bigint").alias("hit"),
-                F.col(name).cast("double").alias("score"),
+                known(name).alias("score"),
             )
             for c, name in scores.items()
         ]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.lifecycle import eol_date
 from ..functions.text import normalize_key, numeric, require_columns, source_label, strip
+from ..operators.dataset import devices_from_tabs
+from .tabs import Tabs
+
+FILES_PER_STATE = 16
 
 REQUIRED = (
     "device_name", "loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "loc_longitude", "modeldata_eol",
@@ -35,12 +41,21 @@ def mappable(df: DataFrame) -> DataFrame:
 
 
 def write_devices(df: DataFrame, path: str, by_state: bool = False) -> None:
-    """Write the dataset as Parquet; ``by_state`` lays it out for state filters."""
-    writer = df.write.mode("overwrite")
+    """Write the dataset as Parquet; ``by_state`` lays it out for state filters, in a bounded number of files per state."""
     if by_state:
-        writer = writer.partitionBy("loc_state")
-    writer.parquet(path)
-
-
-def load_devices(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_devices(spark.read.parquet(path))
+        spread = F.pmod(F.xxhash64("device_name"), F.lit(FILES_PER_STATE))
+        df.repartition("loc_state", spread).write.mode("overwrite").partitionBy("loc_state").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def load_devices(spark: SparkSession, path: str, tabs: Tabs | None = None) -> DataFrame:
+    """The dataset at the path; where there is none and tabs are given, it is built from them and written first."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as error:
+        if tabs is None or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_devices(normalize_devices(devices_from_tabs(tabs)), path)
+        found = spark.read.parquet(path)
+    return normalize_devices(found)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens, snake_columns
+from ..operators.sizing import join_dimension, settle
 
 # Tab names in their required order.
 TAB_ORDER = (
@@ -69,45 +68,55 @@ def check_dataset_tabs(tabs: Tabs) -> None:
 def conform(name: str, df: DataFrame) -> DataFrame:
     """One tab with every cell as text and the columns it is read for present.
 
-    The row index stays a long.
+    The row index stays a long. A timestamp at midnight is a date and is written as one.
     """
+    kinds = dict(df.dtypes)
     columns = [*df.columns, *(c for c in TAB_COLUMNS[name] if c not in df.columns)]
     if name in INVENTORY_TABS and ROW_INDEX not in columns:
         columns.append(ROW_INDEX)
     cells = []
     for c in columns:
         cell = F.col(f"`{c}`") if c in df.columns else F.lit(None)
+        if kinds.get(c, "").startswith("timestamp"):
+            cell = F.when(cell == F.date_trunc("day", cell), F.date_format(cell, "yyyy-MM-dd")).otherwise(cell.cast("string"))
         cells.append(cell.cast("bigint" if c == ROW_INDEX else "string").alias(c))
     return df.select(*cells)
 
 
-def number_rows(df: DataFrame) -> DataFrame:
-    """Add a row number in reading order, for exports that do not carry one.
+def number_rows(scan: DataFrame) -> DataFrame:
+    """Add a row number in the order of the files by name and of the rows in each file; it may leave gaps.
 
-    Must be applied to the scan itself, before any filter: the number only has
-    to order the rows of a tab, so it may leave gaps between input splits.
+    Must be applied to the scan itself. Spark packs parts of files into tasks by
+    size, so the parts are ranked by path and place first; within its part a row is
+    numbered by the task that reads it. The ranked table has a row per part and is
+    measured before it is joined.
     """
-    return df.withColumn(ROW_INDEX, F.monotonically_increasing_id())
+    at = {"_part_path": F.col("_metadata.file_path"), "_part_start": F.col("_metadata.file_block_start")}
+    columns = scan.columns
+    placed = scan.withColumns({**at, "_in_task": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = scan.select(*[c.alias(n) for n, c in at.items()]).distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy("_part_path", "_part_start")
+    ranked = parts.select(F.col("_part_path").alias("_path"), F.col("_part_start").alias("_start"), F.row_number().over(order).alias("_rank"))
+    joined = join_dimension(placed, settle(ranked)[0], [("_part_path", "_path"), ("_part_start", "_start")], spread_by="_in_task")
+    return joined.select(*[f"`{c}`" for c in columns], (F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_in_task")).alias(ROW_INDEX))
 
 
 def read_tab(spark: SparkSession, path: str, name: str, fmt: str, multiline: bool = False) -> DataFrame:
     """One tab. ``multiline`` accepts line breaks in CSV cells, at the price of one task per file."""
     if fmt == "csv":
         raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"')
-        df = null_tokens(raw)
     else:
-        df = spark.read.format(fmt).load(path)
-    df = snake_columns(df)
-    if name in INVENTORY_TABS and ROW_INDEX not in df.columns:
-        df = number_rows(df)
-    return conform(name, df)
+        raw = spark.read.format(fmt).load(path)
+    if name in INVENTORY_TABS and ROW_INDEX not in snake_columns(raw).columns:
+        raw = number_rows(raw)
+    return conform(name, snake_columns(null_tokens(raw) if fmt == "csv" else raw))
 
 
-def read_tabs(spark: SparkSession, directory: str, fmt: str = "parquet") -> Tabs:
-    """Read one export per tab (``<directory>/<tab name>.<fmt>``), all cells untyped."""
+def read_tabs(spark: SparkSession, directory: str, fmt: str = "parquet", multiline: bool = False) -> Tabs:
+    """Read one export per tab (``<directory>/<tab name>.<fmt>``, a path or URI), all cells untyped."""
     if fmt not in ("parquet", "csv", "orc"):
         raise ValueError(f"unsupported tab format: {fmt}")
-    return {n: read_tab(spark, str(PurePosixPath(directory) / f"{n}.{fmt}"), n, fmt) for n in TAB_ORDER}
+    return {n: read_tab(spark, f"{directory.rstrip('/')}/{n}.{fmt}", n, fmt, multiline) for n in TAB_ORDER}
 
 
 def tab_shapes(tabs: Tabs) -> DataFrame:
