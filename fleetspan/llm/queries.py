@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspan.llm.collocations import collocations
 from fleetspan.llm.decontaminate import contaminated
 from fleetspan.llm.exact_dedup import exact_duplicates
+from fleetspan.llm.hard_negatives import hard_negatives
 from fleetspan.llm.language import identify_language
 from fleetspan.llm.mixing import LEVELS, OTHER, WORD, MixTargets, mixing_decisions
 from fleetspan.llm.pii import find_identifiers
 from fleetspan.llm.simhash import simhash_components
+from fleetspan.llm.substring_dedup import without_repeated_passages
 from fleetspan.llm.token_count import token_counts, unigram_from_pieces
 from fleetspan.llm.token_shards import encoded_documents
 from fleetspan.llm.url_filter import TRACKING, Rule, canonical_url, judge_urls, url_host
@@ -36,6 +39,9 @@ URL_RULES = [
 # Pages on hosts with these labels make up the list of URLs.
 LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 
+PHRASE_LEAST, PHRASES_A_LANG = 100, 2000
+REPEAT_WORDS = 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TWINS: dict[str, str] = {}
@@ -106,6 +112,23 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations(table(spark, d, "documents"), at_least=PHRASE_LEAST, top=PHRASES_A_LANG)
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cleaned = without_repeated_passages(table(spark, d, "documents"), window=REPEAT_WORDS)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, d, "embeddings"), label=moved)
+
+
 def _mixing_twin(targets: MixTargets) -> str:
     names = dict(zip(LEVELS, ("source", "lang", "topic")))
     level = lambda c, shares: f"case when {c} in ({', '.join(repr(v) for v in shares)}) then {c} else '{OTHER}' end"
@@ -179,3 +202,52 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
     row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 as kept, text_sha256
 from t window g as (partition by text_sha256)
 """
+
+TWINS["op11_collocations"] = rf"""
+with d as (select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+    from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(ws) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= {PHRASE_LEAST}),
+i as (select lang, k, a, s, m, array_to_string(ws[s:s + m - 1], ' ') as phrase
+    from c, (select unnest([1, 2, 3, 4]) as s), (select unnest([2, 3, 4]) as m) where m < k and s + m - 1 <= k),
+o as (select c.* from c where not exists (select 1 from i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.a >= 100 * c.a)),
+u as (select o.lang, o.phrase, o.a, cut, array_to_string(ws[1:cut], ' ') as head, array_to_string(ws[cut + 1:k], ' ') as rest
+    from o, (select unnest([1, 2, 3, 4]) as cut) where cut < k),
+x as (select u.lang, u.phrase, u.a, cut, h.f as l, r.f as r, n.n, (1000::hugeint * u.a * n.n) // (h.f::hugeint * r.f) as score
+    from u join f h on h.lang = u.lang and h.phrase = u.head join f r on r.lang = u.lang and r.phrase = u.rest join n on n.lang = u.lang),
+y as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r,
+    n::bigint as n, score::bigint as score
+from y qualify rank <= {PHRASES_A_LANG}
+"""
+
+TWINS["op12_substring_dedup"] = rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, unnest(range(1, len(ws) - {REPEAT_WORDS - 2})) as i, ws from w where len(ws) >= {REPEAT_WORDS}),
+k as (select doc_id, i, array_to_string(ws[i:i + {REPEAT_WORDS - 1}], ' ') as words from s),
+r as (select doc_id, i from k qualify row_number() over (partition by words order by doc_id, i) > 1),
+c as (select distinct doc_id, unnest(range(i, i + {REPEAT_WORDS})) as j from r),
+a as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from w),
+h as (select doc_id, string_agg(word, ' ' order by j) as kept, count(*) as n from a anti join c using (doc_id, j) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join h using (doc_id)
+"""
+
+TWINS["op13_hard_negatives"] = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+    from e a, e b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::integer as rank,
+    other as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
