@@ -136,7 +136,7 @@ def _mixing_twin(targets: MixTargets) -> str:
         f"when {' or '.join(f'contains(lower(coalesce(text, {chr(39) * 2})), {t!r})' for t in terms)} then {name!r}" for name, terms in targets.terms.items()
     ) + f" else {list(targets.topic)[-1]!r} end"
     sql = [
-        f"m as (select doc_id, {level('source', targets.source)} as mix_source, {level('lang', targets.lang)} as mix_lang, {topic} as mix_topic, "
+        f"m as (select doc_id, coalesce(doc_id::varchar, md5(coalesce(text, ''))) as name, {level('source', targets.source)} as mix_source, {level('lang', targets.lang)} as mix_lang, {topic} as mix_topic, "
         f"greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1) as tokens from documents)",
         f"c as (select {', '.join(LEVELS)}, sum(tokens)::bigint as n from m group by all)",
     ]
@@ -153,7 +153,7 @@ def _mixing_twin(targets: MixTargets) -> str:
             sql.append(f"w{step + 1} as (select * replace (w * {name}_goal / sum(w) over (partition by {name}) as w) from w{step})")
             step += 1
     sql.append(f"r as (select {', '.join(LEVELS)}, (w / n) / max(w / n) over () as p from w{step})")
-    draw = f"('0x' || substr(md5('{targets.seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double"
+    draw = f"('0x' || substr(md5('{targets.seed}:' || name), 1, 8))::bigint / 4294967296.0::double"
     return (
         f"with {', '.join(sql)} select doc_id, {', '.join(LEVELS)}, tokens::bigint as tokens, round(p, 6) as probability, {draw} < p as kept "
         f"from m join r using ({', '.join(LEVELS)})"
