@@ -20,6 +20,9 @@ END_OF_HEAD = "\r\n\r\n"
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+# Characters that some readers take for the end of a line.
+LINE_ENDS = ("\r", "\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
 REVISIT_BYTES = 100  # smaller payloads are always written in full
 RECORDS_PER_FILE = 100_000
 WRITE_DATE = "2026-01-01T00:00:00Z"
@@ -55,8 +58,10 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     )
     first = F.col("first_id")
     revisit = first.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > first))
-    # A line break in a URL would end its header line.
-    address = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    # A line break in a URL would end its header line, for this reader or another.
+    address = F.col("url")
+    for sign in LINE_ENDS:
+        address = F.replace(address, F.lit(sign), F.lit("".join(f"%{b:02X}" for b in sign.encode())))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(END_OF_HEAD),
@@ -83,7 +88,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
 
 
 def _header(head: Column, name: str, pattern: str) -> Column:
-    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*{pattern}[ \t]*$", 1)
+    # Only CR LF ends a header line. Java would also take other signs for one at ^ and $.
+    found = F.regexp_extract(head, rf"(?i)(?:\A|\r\n){name}:[ \t]*{pattern}[ \t]*(?=\r\n|\z)", 1)
     return F.when(found != "", found)
 
 
@@ -155,6 +161,15 @@ def reachable(candidates: DataFrame) -> DataFrame:
         nodes = after.drop("new")
 
 
+def check_chains(placed: DataFrame, chained: DataFrame) -> None:
+    """Raise when the records of a file, from its start, do not reach its end."""
+    ends = placed.groupBy("file").agg(F.max(F.col("offset") + len(VERSION) + F.col("size")).alias("end"))
+    reached = chained.groupBy("file").agg(F.max("next").alias("reached"))
+    broken = ends.join(reached, "file", "left").where("end > 0 and not end <=> reached").select("file", "end", "reached").first()
+    if broken is not None:
+        raise ValueError(f"damaged archive: the records of file {broken['file']} reach {broken['reached']} of {broken['end']} bytes")
+
+
 def _measured(side: Dimension) -> DataFrame:
     return F.broadcast(side.table) if side.fits_broadcast else side.table
 
@@ -165,12 +180,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A response's bytes and digest are those of its payload as read; a revisit holds
     none and tells those of the payload it stands for. A record whose payload holds
     version lines is put together again from its pieces. Records that no chain
-    from the start of a file reaches do not count. Pages without a key have null.
+    from the start of a file reaches do not count. A file whose chain does not end
+    where the file ends is damaged and raises, as records would be lost behind the
+    break. Pages without a key have null.
     """
     pieces = warc_pieces(spark, path)
     placed = written_table(_placed(pieces))
     claims = placed.where("used is not null and offset >= 0").select("file", "offset", (F.col("offset") + len(VERSION) + F.col("used")).alias("next"))
     chain = reachable(claims).withColumn("record", F.lit(True))
+    check_chains(placed, claims.join(chain, ["file", "offset"]))
     marked = placed.join(chain, ["file", "offset"], "left")
     order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("start", F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(order))
