@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import not_in
 from ..sources.tabs import Tabs, check_tab_set
-from .sizing import absent_from, mark_members, present_in
+from .sizing import absent_from, members_of, present_in, without_members
 
 # Fixed values.
 UNREACHABLE = ("Unreachable", "Ping Reachable")
@@ -56,13 +56,14 @@ def drop_cross_source(catctr: DataFrame, prime_ap: DataFrame, prime_wlc: DataFra
 
     The names are compared as they stand, so case differences are not caught here.
     The last inventory is checked against all three others at once: whether their
-    own duplicates are gone by then makes no difference to the set of names.
+    own duplicates are gone by then makes no difference to the set of names. The
+    names of the three better sources are merged once, and all three joins read that.
     """
-    best, ap, wlc = (catctr, "hostname"), (prime_ap, "name"), (prime_wlc, "devicename")
+    members = members_of((catctr, "hostname"), (prime_ap, "name"), (prime_wlc, "devicename"))
     return {
-        "PrimeAP": absent_from(prime_ap, "name", best),
-        "PrimeWLC": absent_from(prime_wlc, "devicename", best),
-        "NA": absent_from(na, "host_name", best, ap, wlc),
+        "PrimeAP": without_members(prime_ap, "name", members, 0b001),
+        "PrimeWLC": without_members(prime_wlc, "devicename", members, 0b001),
+        "NA": without_members(na, "host_name", members, 0b111),
     }
 
 
@@ -87,60 +88,104 @@ def apply_filters(tabs: Tabs, cross_source: bool = True) -> Tabs:
     return out
 
 
-def filter_audit(tabs: Tabs) -> DataFrame:
-    """Rows each filter step matches, each step seeing what the earlier ones left."""
-    hosts = filter_catctr(tabs["CatCtr"])
-    best = (hosts, "hostname")
+def _tagged(parts: list[tuple[DataFrame, Column, dict[str, Column]]], names: list[str], key: str) -> DataFrame:
+    """Tables under each other as (key, a count per name), summed per key: one exchange for all of them; null is a key."""
+    out = None
+    for table, value, counts in parts:
+        part = table.select(value.alias(key), *[counts.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+
 
+def step_counts(tabs: Tabs) -> DataFrame:
+    """One row with the rows of every tab before and after all filters, and those each filter step matches.
+
+    Nothing is joined. The inventories are counted per host under each other, and
+    whether a host occurs in a better one follows from its counts; the sites likewise.
+    """
     unreachable = F.coalesce(F.col("reachabilitystatus").isin(*UNREACHABLE), F.lit(False))
-    cat = cut_hosts(tabs["CatCtr"]).agg(
-        _steps(
-            ("unreachable", "CatCtr", F.count_if(unreachable)),
-            ("no_hostname", "CatCtr", F.count_if(~unreachable & F.col("hostname").isNull())),
-        )
-    )
-    na = mark_members(
-        tabs["NA"],
-        "host_name",
-        {"in_cat": best, "in_ap": (tabs["PrimeAP"], "name"), "in_wlc": (tabs["PrimeWLC"], "devicename")},
-    )
-    kept = ~F.col("in_cat") & ~F.col("in_ap") & ~F.col("in_wlc")
+    hostname = F.substring_index("hostname", ".", 1)
     inactive = F.col("device_status").eqNullSafe(INACTIVE)
     typed = F.coalesce(F.col("device_type").isin(*OUT_OF_SCOPE_TYPES), F.lit(False))
-    na = na.agg(
-        _steps(
-            ("in_catctr", "NA", F.count_if("in_cat")),
-            ("in_primeap", "NA", F.count_if(~F.col("in_cat") & F.col("in_ap"))),
-            ("in_primewlc", "NA", F.count_if(~F.col("in_cat") & F.col("in_wlc"))),
-            ("inactive", "NA", F.count_if(kept & inactive)),
-            ("out_of_scope_type", "NA", F.count_if(kept & ~inactive & typed)),
-        )
+    one = F.lit(1)
+    hosts = _tagged(
+        [
+            (tabs["CatCtr"], hostname, {
+                "cat": one, "unreachable": unreachable, "no_hostname": ~unreachable & hostname.isNull(),
+                "cat_kept": ~unreachable & hostname.isNotNull(),
+            }),
+            (tabs["PrimeAP"], F.col("name"), {"ap": one}),
+            (tabs["PrimeWLC"], F.col("devicename"), {"wlc": one}),
+            (tabs["NA"], F.col("host_name"), {"na": one, "na_inactive": inactive, "na_typed": ~inactive & typed}),
+        ],
+        ["cat", "unreachable", "no_hostname", "cat_kept", "ap", "wlc", "na", "na_inactive", "na_typed"], "host",
+    )
+    in_cat, in_ap, in_wlc = F.col("cat_kept") > 0, F.col("ap") > 0, F.col("wlc") > 0
+    free = ~in_cat & ~in_ap & ~in_wlc
+
+    def rows(name: str, where: Column | None = None) -> Column:
+        value = F.col(name) if where is None else F.when(where, F.col(name))
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    by_host = hosts.agg(
+        rows("cat").alias("raw_CatCtr"), rows("ap").alias("raw_PrimeAP"), rows("wlc").alias("raw_PrimeWLC"), rows("na").alias("raw_NA"),
+        rows("cat_kept").alias("kept_CatCtr"), rows("ap", ~in_cat).alias("kept_PrimeAP"), rows("wlc", ~in_cat).alias("kept_PrimeWLC"),
+        (rows("na", free) - rows("na_inactive", free) - rows("na_typed", free)).alias("kept_NA"),
+        rows("unreachable").alias("unreachable"), rows("no_hostname").alias("no_hostname"),
+        rows("ap", in_cat).alias("ap_in_cat"), rows("wlc", in_cat).alias("wlc_in_cat"), rows("na", in_cat).alias("na_in_cat"),
+        rows("na", ~in_cat & in_ap).alias("na_in_ap"), rows("na", ~in_cat & in_wlc).alias("na_in_wlc"),
+        rows("na_inactive", free).alias("inactive"), rows("na_typed", free).alias("out_of_scope_type"),
+    )
+    sites = _tagged(
+        [
+            (tabs["SOLID"], F.col("site_code"), {"solid": one}), (tabs["SOLID-Loc"], F.col("site_code"), {"loc": one}),
+            (tabs["Decom"], F.col("site_cd"), {"gone": one}),
+        ],
+        ["solid", "loc", "gone"], "site",
+    )
+    closed = F.col("gone") > 0
+    by_site = sites.agg(
+        rows("solid").alias("raw_SOLID"), rows("loc").alias("raw_SOLID-Loc"), rows("gone").alias("raw_Decom"), rows("gone").alias("kept_Decom"),
+        rows("solid", ~closed).alias("kept_SOLID"), rows("loc", ~closed).alias("kept_SOLID-Loc"), rows("solid", closed).alias("decommissioned"),
     )
     category = F.coalesce(F.col("category").isin(*OUT_OF_SCOPE_CATEGORIES), F.lit(False))
-    parts = [
-        present_in(tabs["SOLID"], "site_code", (tabs["Decom"], "site_cd")).agg(
-            _steps(("decommissioned", "SOLID", F.count(F.lit(1))))
-        ),
-        cat,
-        present_in(tabs["PrimeAP"], "name", best).agg(
-            _steps(("in_catctr", "PrimeAP", F.count(F.lit(1))))
-        ),
-        present_in(tabs["PrimeWLC"], "devicename", best).agg(
-            _steps(("in_catctr", "PrimeWLC", F.count(F.lit(1))))
-        ),
-        na,
-        tabs["ModelData"].agg(_steps(("out_of_scope_category", "ModelData", F.count_if(category)))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.select(F.inline("steps"))
+    models = tabs["ModelData"].agg(
+        F.count(one).alias("raw_ModelData"), F.count_if(~category).alias("kept_ModelData"), F.count_if(category).alias("out_of_scope_category"),
+    )
+    prices = tabs["Pricing"].agg(F.count(one).alias("raw_Pricing"), F.count(one).alias("kept_Pricing"))
+    struct = lambda df: df.select(F.struct("*").alias("one"))
+    parts = [struct(df).scalar() for df in (by_site, models, prices)]
+    whole = by_host.select("*", *[p.alias(f"_{i}") for i, p in enumerate(parts)])
+    return whole.select(*by_host.columns, "_0.*", "_1.*", "_2.*")
 
 
-def _steps(*measures):
-    return F.array(
-        *[F.struct(F.lit(s).alias("step"), F.lit(t).alias("tab"), m.alias("n_rows")) for s, t, m in measures]
-    ).alias("steps")
+# Steps of the audit: name, tab and the count of step_counts.
+AUDIT = (
+    ("decommissioned", "SOLID", "decommissioned"), ("unreachable", "CatCtr", "unreachable"), ("no_hostname", "CatCtr", "no_hostname"),
+    ("in_catctr", "PrimeAP", "ap_in_cat"), ("in_catctr", "PrimeWLC", "wlc_in_cat"), ("in_catctr", "NA", "na_in_cat"),
+    ("in_primeap", "NA", "na_in_ap"), ("in_primewlc", "NA", "na_in_wlc"), ("inactive", "NA", "inactive"),
+    ("out_of_scope_type", "NA", "out_of_scope_type"), ("out_of_scope_category", "ModelData", "out_of_scope_category"),
+)
+
+
+def filter_audit(tabs: Tabs) -> DataFrame:
+    """Rows each filter step matches, each step seeing what the earlier ones left."""
+    rows = [F.struct(F.lit(s).alias("step"), F.lit(t).alias("tab"), F.col(n).alias("n_rows")) for s, t, n in AUDIT]
+    return step_counts(tabs).select(F.inline(F.array(*rows)))
+
+
+def tab_counts(tabs: Tabs) -> DataFrame:
+    """Rows and columns of every tab that is read, before (``raw``) and after all filters (``filtered``)."""
+    rows = [
+        F.struct(
+            F.lit(stage).alias("stage"), F.lit(tab).alias("tab"), F.col(f"`{kind}_{tab}`").alias("n_rows"),
+            F.lit(len(tabs[tab].columns)).alias("n_columns"),
+        )
+        for stage, kind in (("raw", "raw"), ("filtered", "kept"))
+        for tab in tabs
+        if tab != "Glossary"
+    ]
+    return step_counts(tabs).select(F.inline(F.array(*rows)))
 
 
 def overlap_hosts(tabs: Tabs) -> DataFrame:

@@ -91,36 +91,47 @@ def join_dimension(
 Keys = tuple[DataFrame, str]
 
 
-def _members(keys: dict[str, Keys]) -> DataFrame:
-    """Every key of the given tables once, with a flag per table it occurs in.
+def members_of(*tables: Keys) -> DataFrame:
+    """Every key of the given tables once (``_member``), and in which of them it occurs: bit k of ``_in`` for table k.
 
     Merging them first means that a key repeated on this side is combined before
     the shuffle, that several tables cost one join, and that a hot key on the
-    other side meets a single row and can be split by adaptive execution.
+    other side meets a single row and can be split by adaptive execution. Joins of
+    one query that take the same members share the aggregate.
     """
     parts = None
-    for flag, (table, key) in keys.items():
-        part = table.select(F.col(key).alias("_member"), *[F.lit(f == flag).alias(f) for f in keys])
+    for k, (table, key) in enumerate(tables):
+        part = table.select(F.col(key).alias("_member"), F.lit(1 << k).alias("_in"))
         parts = part if parts is None else parts.unionAll(part)
-    return parts.groupBy("_member").agg(*[F.max(f).alias(f) for f in keys])
+    return parts.groupBy("_member").agg(F.bit_or("_in").alias("_in"))
+
+
+def _among(members: DataFrame, places: int) -> DataFrame:
+    """The members that occur in one of the tables whose bits are set."""
+    return members.where(F.col("_in").bitwiseAND(F.lit(places)) != 0).select("_member")
+
+
+def without_members(df: DataFrame, key: str, members: DataFrame, places: int) -> DataFrame:
+    """Rows whose key is no member of the tables whose bits are set in ``places``; null matches null."""
+    return df.join(_among(members, places), F.col(key).eqNullSafe(F.col("_member")), "left_anti")
 
 
 def absent_from(df: DataFrame, key: str, *others: Keys) -> DataFrame:
     """Rows whose key occurs in none of the other tables; null matches null."""
-    members = _members({f"_in{i}": o for i, o in enumerate(others)}).select("_member")
-    return df.join(members, F.col(key).eqNullSafe(F.col("_member")), "left_anti")
+    return without_members(df, key, members_of(*others), (1 << len(others)) - 1)
 
 
 def present_in(df: DataFrame, key: str, *others: Keys) -> DataFrame:
     """Rows whose key occurs in one of the other tables; null matches null."""
-    members = _members({f"_in{i}": o for i, o in enumerate(others)}).select("_member")
+    members = _among(members_of(*others), (1 << len(others)) - 1)
     return df.join(members, F.col(key).eqNullSafe(F.col("_member")), "left_semi")
 
 
 def mark_members(df: DataFrame, key: str, others: dict[str, Keys]) -> DataFrame:
     """Add a flag per other table: does the key occur there? Null matches null."""
-    joined = df.join(_members(others), F.col(key).eqNullSafe(F.col("_member")), "left").drop("_member")
-    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in others})
+    joined = df.join(members_of(*others.values()), F.col(key).eqNullSafe(F.col("_member")), "left")
+    flags = {f: F.coalesce(F.col("_in").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False)) for k, f in enumerate(others)}
+    return joined.withColumns(flags).drop("_member", "_in")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -133,8 +144,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
-# Folders written by this process, by application; see release_tables.
+# Folders written by this process, by application, and how often they were released; see release_tables.
 _WRITTEN: dict[str, list[str]] = {}
+_RELEASED: dict[str, int] = {}
 
 
 def new_folder(spark: SparkSession, kind: str = "table") -> str:
@@ -156,9 +168,15 @@ def written_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def generation(spark: SparkSession) -> int:
+    """How often this application's tables were released: what was written in an earlier generation is gone."""
+    return _RELEASED.get(spark.sparkContext.applicationId, 0)
+
+
 def release_tables(spark: SparkSession) -> int:
     """Delete the intermediate tables this application has written; frames that read them end here."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _RELEASED[spark.sparkContext.applicationId] = generation(spark) + 1
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
