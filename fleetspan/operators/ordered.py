@@ -16,28 +16,22 @@ from pyspark.sql import functions as F
 
 from .sizing import written_table
 
-PARTS = 128
 
 
-def with_ranges(df: DataFrame, by: str, order: str, parts: int = PARTS) -> DataFrame:
-    """Add ``_range``: the number of cut points below the value.
+def with_ranges(df: DataFrame, by: str, order: str, parts: int | None = None) -> DataFrame:
+    """Deal the rows out in the order of set and value, and add ``_range``: the partition a row came to; written once.
 
-    The cut points come from an approximate sketch; they only balance the
-    ranges, any cut points give the same results.
+    The ranges are those of the exchange, as many as the session or ``parts`` asks
+    for, so they grow with the data. Any ranges give the same results. Equal values
+    of a set are never parted.
     """
-    steps = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(F.col(by).alias("_set")).agg(
-        F.array_distinct(F.percentile_approx(order, steps, F.lit(parts * 20))).alias("_cuts")
-    )
-    # Bounded: one row per set, at most ``parts`` numbers each.
-    joined = df.join(F.broadcast(cuts), F.col(by).eqNullSafe(F.col("_set")), "left")
-    below = F.filter("_cuts", lambda c: c < F.col(order))
-    return joined.withColumn("_range", F.size(below)).drop("_set", "_cuts")
+    dealt = df.repartitionByRange(by, order) if parts is None else df.repartitionByRange(parts, by, order)
+    return written_table(dealt.withColumn("_range", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, str], parts: int = PARTS) -> DataFrame:
+def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """Add inclusive running sums (``name -> column``) and set totals (``name_total``)."""
-    ranged = with_ranges(written_table(df), by, order, parts)
+    ranged = with_ranges(df, by, order, parts)
     before = Window.partitionBy("_set").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_set")
     offsets = (
@@ -52,16 +46,16 @@ def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, str], parts
     )
     inside = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col(by).eqNullSafe(F.col("_set")) & (F.col("_range") == F.col("_part"))
-    # Bounded: at most ``parts`` rows per set.
+    # Bounded: a row per range and set, of which only neighbours share a range.
     joined = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(offsets), same)
     return joined.withColumns({n: F.col(n) + F.col(f"_off_{n}") for n in sums}).drop(
         "_set", "_part", "_range", *[f"_off_{n}" for n in sums]
     )
 
 
-def with_neighbours(df: DataFrame, by: str, order: str, value: Column, parts: int = PARTS) -> DataFrame:
+def with_neighbours(df: DataFrame, by: str, order: str, value: Column, parts: int | None = None) -> DataFrame:
     """Add ``previous`` and ``next``: the nearest non-null value before and after each row."""
-    ranged = with_ranges(written_table(df.withColumn("_value", value)), by, order, parts)
+    ranged = with_ranges(df.withColumn("_value", value), by, order, parts)
     back = Window.partitionBy("_set").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("_set").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     known = F.when(F.col("_value").isNotNull(), F.col(order))
@@ -96,7 +90,7 @@ def with_neighbours(df: DataFrame, by: str, order: str, value: Column, parts: in
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, probs: list[float], by: str | None = None, parts: int = PARTS
+    df: DataFrame, value: str, probs: list[float], by: str | None = None, parts: int | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, as the array ``quantiles`` per set.
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import CLASSES, best_class, bce_with_logits, cross_entropy, one_hot, squared_error, weighted
-from ..operators.ordered import PARTS, running_sums, with_neighbours
+from ..operators.ordered import running_sums, with_neighbours
+from ..operators.sizing import written_table
 
 # Fixed values.
-CLASS_NAMES = {-1: "passed EoL", 0: "EoL > 365", 1: "EoL <= 365"}
 NEGATIVE_WEIGHTS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0)
 POSITIVE_WEIGHTS = (1.0, 1.5, 2.0, 3.0)
 
@@ -20,8 +20,15 @@ def check_classes(found: list[int]) -> None:
         raise ValueError(f"the model lacks expected classes {missing}; it has {sorted(found)}")
 
 
+def _rows(condition: Column, weight: str | None) -> Column:
+    """Rows that fulfil a condition; ``weight`` names a column that tells for how many rows each one stands."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
 def confusion_matrix(
-    df: DataFrame, actual: str = "actual", predicted: str = "predicted", normalize: bool = False
+    df: DataFrame, actual: str = "actual", predicted: str = "predicted", normalize: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Nine cells in class order, zero-filled; ``normalize`` divides by the row total (0 for none)."""
     a, p = F.col(actual), F.col(predicted)
@@ -30,8 +37,8 @@ def confusion_matrix(
             F.struct(
                 F.lit(i).alias("actual"),
                 F.lit(j).alias("predicted"),
-                F.count_if((a == i) & (p == j)).alias("n"),
-                F.count_if((a == i) & p.isin(*CLASSES)).alias("row_total"),
+                _rows((a == i) & (p == j), weight).alias("n"),
+                _rows((a == i) & p.isin(*CLASSES), weight).alias("row_total"),
             )
             for i in CLASSES
             for j in CLASSES
@@ -68,9 +75,9 @@ def _cell(i: int, j: int) -> str:
     return f"n_{i + 1}{j + 1}"
 
 
-def _cells(actual: Column, predicted: Column) -> list[Column]:
+def _cells(actual: Column, predicted: Column, weight: str | None = None) -> list[Column]:
     return [
-        F.count_if((actual == i) & (predicted == j)).alias(_cell(i, j)) for i in CLASSES for j in CLASSES
+        _rows((actual == i) & (predicted == j), weight).alias(_cell(i, j)) for i in CLASSES for j in CLASSES
     ]
 
 
@@ -78,9 +85,11 @@ def _counted() -> dict[tuple[int, int], Column]:
     return {(i, j): F.col(_cell(i, j)) for i in CLASSES for j in CLASSES}
 
 
-def classification_report(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+def classification_report(
+    df: DataFrame, actual: str = "actual", predicted: str = "predicted", weight: str | None = None
+) -> DataFrame:
     """Rows per class, then accuracy, macro and support-weighted mean."""
-    counted = df.agg(*_cells(F.col(actual), F.col(predicted)))
+    counted = df.agg(*_cells(F.col(actual), F.col(predicted), weight))
     per = _class_scores(_counted())
     everything = per[-1]["support"] + per[0]["support"] + per[1]["support"]
     right = F.col(_cell(-1, -1)) + F.col(_cell(0, 0)) + F.col(_cell(1, 1))
@@ -147,7 +156,7 @@ def weight_grid(df: DataFrame, actual: str = "actual", scores: str = "scores") -
 # --- ROC ---------------------------------------------------------------------
 
 
-def one_vs_rest(df: DataFrame, actual: str, scores: dict[int, str]) -> DataFrame:
+def one_vs_rest(df: DataFrame, actual: str, scores: dict[int, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per input row and class: is it the class, and the score given to it. A missing score is an error."""
 
     def known(name: str) -> Column:
@@ -164,7 +173,7 @@ def one_vs_rest(df: DataFrame, actual: str, scores: dict[int, str]) -> DataFrame
             for c, name in scores.items()
         ]
     )
-    return df.select(F.inline(rows))
+    return df.select(*keep, F.inline(rows))
 
 
 def score_counts(df: DataFrame, actual: str, scores: dict[int, str]) -> DataFrame:
@@ -176,7 +185,7 @@ def score_counts(df: DataFrame, actual: str, scores: dict[int, str]) -> DataFram
     )
 
 
-def class_auc(counts: DataFrame, parts: int = PARTS) -> DataFrame:
+def class_auc(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Area under the ROC curve per class; null for a class with one kind of label only."""
     ranked = running_sums(counts, "class_id", "score", {"pos_sum": "pos", "neg_sum": "neg"}, parts)
     # Negatives below, and half of those at the same score.
@@ -186,21 +195,29 @@ def class_auc(counts: DataFrame, parts: int = PARTS) -> DataFrame:
     )
 
 
-def macro_auc(df: DataFrame, actual: str, scores: dict[int, str], parts: int = PARTS) -> DataFrame:
+def macro_auc(df: DataFrame, actual: str, scores: dict[int, str], parts: int | None = None) -> DataFrame:
     """Mean AUC over the classes, as one row; null when a class has no AUC."""
-    per = class_auc(score_counts(df, actual, scores), parts)
+    return _macro_auc(score_counts(df, actual, scores), scores, parts)
+
+
+def _macro_auc(counts: DataFrame, scores: dict[int, str], parts: int | None = None) -> DataFrame:
+    per = class_auc(counts, parts)
     return per.agg(
         F.when(F.count("auc") == len(scores), F.avg("auc")).alias("macro_auc"),
         *[F.max(F.when(F.col("class_id") == c, F.col("auc"))).alias(f"auc_{c + 1}") for c in scores],
     )
 
 
-def roc_curves(df: DataFrame, actual: str, scores: dict[int, str], parts: int = PARTS) -> DataFrame:
+def roc_curves(df: DataFrame, actual: str, scores: dict[int, str], parts: int | None = None) -> DataFrame:
     """Corner points of every class's ROC curve, from (0, 0) to (1, 1).
 
     A point between two equal steps lies on a straight line and is left out.
     """
-    counts = score_counts(df, actual, scores).withColumn("fall", -F.col("score"))
+    return _roc_curves(score_counts(df, actual, scores), scores, parts)
+
+
+def _roc_curves(counts: DataFrame, scores: dict[int, str], parts: int | None = None) -> DataFrame:
+    counts = counts.withColumn("fall", -F.col("score"))
     step = F.struct("pos", "neg")
     walked = with_neighbours(counts, "class_id", "fall", step, parts)
     bend = (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
@@ -221,14 +238,18 @@ def roc_curves(df: DataFrame, actual: str, scores: dict[int, str], parts: int =
     return points.unionByName(start)
 
 
-def macro_roc(df: DataFrame, actual: str, scores: dict[int, str], parts: int = PARTS) -> DataFrame:
+def macro_roc(df: DataFrame, actual: str, scores: dict[int, str], parts: int | None = None) -> DataFrame:
     """Mean ROC curve on the union of the classes' false positive rates.
 
     Between the points of a class its curve is linear; at a vertical step the
     upper end counts.
     """
+    return _macro_roc(roc_curves(df, actual, scores, parts), scores, parts)
+
+
+def _macro_roc(curves: DataFrame, scores: dict[int, str], parts: int | None = None) -> DataFrame:
     at = (
-        roc_curves(df, actual, scores, parts)
+        curves
         .filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
         .groupBy("class_id", "fpr")
         .agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
@@ -245,6 +266,35 @@ def macro_roc(df: DataFrame, actual: str, scores: dict[int, str], parts: int = P
     )
 
 
+# --- all of it from one count --------------------------------------------------
+
+
+def evaluation_counts(df: DataFrame, actual: str, predicted: str, scores: dict[int, str]) -> DataFrame:
+    """Rows per class, score given to it, actual and predicted class: all that an evaluation needs, by one pass over the rows."""
+    known = one_vs_rest(df.select(actual, predicted, *scores.values()), actual, scores, (actual, predicted))
+    return known.groupBy("class_id", "score", F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def evaluate(df: DataFrame, actual: str, predicted: str, scores: dict[int, str]) -> dict[str, DataFrame]:
+    """Report, confusion, AUC and ROC curves; the rows are read once, into a written count."""
+    counts = written_table(evaluation_counts(df, actual, predicted, scores))
+    one = counts.where(F.col("class_id") == next(iter(scores)))  # every row once
+    hit = F.col("actual") == F.col("class_id")
+    by_score = written_table(
+        counts.groupBy("class_id", "score").agg(_rows(hit, "n").alias("pos"), _rows(~F.coalesce(hit, F.lit(False)), "n").alias("neg"))
+    )
+    curves = _roc_curves(by_score, scores)
+    return {
+        "report": classification_report(one, weight="n"),
+        "confusion": confusion_matrix(one, weight="n"),
+        "auc": _macro_auc(by_score, scores),
+        "roc": curves.select("class_id", "fpr", "tpr", "score"),
+        "macro_roc": _macro_roc(curves, scores),
+    }
+
+
 # --- losses ------------------------------------------------------------------
 
 LOSSES = ("cross_entropy_loss", "bce_with_logits_loss", "mse_loss")
