@@ -9,20 +9,19 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lifecycle import DEFAULT_HORIZON_DAYS, days_to_eol
 from ..functions.scores import CLASSES, best_class, weight_array, weighted
 from ..functions.text import require_columns, to_double, with_optional
 from ..operators.dataset import NOT_ANALYSED, SPARSE
-from ..operators.ordered import PARTS, exact_percentiles, running_sums
+from ..operators.ordered import running_sums
 from ..operators.sizing import join_dimension, settle, written_table
-from .evaluation import check_classes, weight_grid
+from .encoding import Encoder, fit_encoder, load_encoder, medians, most_frequent, value_counts
+from .evaluation import check_classes, evaluate, weight_grid
 from .inferences import class_label
 
 # Columns of the clean dataset that the model does not use.
@@ -45,6 +44,8 @@ NO_MODEL = "UNKNOWN_MODEL"
 MISSING_LIMIT = 0.5
 TEST_FOLDS, TEST_SEED, TEST_SHARE = 5, 42, 0.20
 VALIDATION_FOLDS, VALIDATION_SEED, VALIDATION_SHARE = 4, 43, 0.25
+HEAVY_GROUPS = 64  # the largest groups are placed one by one
+SPLITS = ("train", "val", "test")
 
 
 # --- rows and features -------------------------------------------------------
@@ -116,20 +117,30 @@ def most_missing(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     )
 
 
-def class_distribution(df: DataFrame, target: str = "target") -> DataFrame:
-    """Rows and share per class in class order, zero-filled."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("target"),
-                F.count_if(F.col(target) == c).alias("n_rows"),
-                F.count(F.lit(1)).alias("n_all"),
-            )
-            for c in CLASSES
-        ]
-    )
-    out = df.agg(rows.alias("rows")).select(F.inline("rows"))
-    return out.select("target", "n_rows", F.round(F.try_divide("n_rows", "n_all"), 3).alias("share"))
+def missing_preview(devices: DataFrame, n: int = 10) -> DataFrame:
+    """The features most often missing among all located devices, with a known date or without."""
+    features = feature_columns(devices)
+    return most_missing(located(devices).select(*feature_values(features)), features, n)
+
+
+def _class_rows(scope: Column, within: Column | None = None) -> list[Column]:
+    def count(condition: Column) -> Column:
+        return F.count_if(condition if within is None else condition & within)
+
+    return [
+        F.struct(scope.alias("scope"), F.lit(c).alias("target"), count(F.col("target") == c).alias("n_rows"), count(F.lit(True)).alias("n_all"))
+        for c in CLASSES
+    ]
+
+
+def class_distribution(df: DataFrame, by_split: bool = False) -> DataFrame:
+    """Rows and share per class in class order, zero-filled; per split where there are splits."""
+    rows = _class_rows(F.lit("all"))
+    if by_split:
+        rows = [r for s in SPLITS for r in _class_rows(F.lit(s), F.col("split") == s)]
+    out = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    share = F.round(F.try_divide("n_rows", "n_all"), 3).alias("share")
+    return out.select(F.col("scope").alias("split"), "target", "n_rows", share) if by_split else out.select("target", "n_rows", share)
 
 
 # --- grouped stratified split ------------------------------------------------
@@ -142,32 +153,43 @@ def group_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def deal_folds(groups: DataFrame, folds: int, seed: int, parts: int = PARTS) -> DataFrame:
-    """Add a fold per group so that size and class mix are alike in all folds.
+def _place_heavy(groups: list, folds: int, totals: dict[int, int]) -> list[tuple[str, int]]:
+    """Each group, largest first, to the fold that holds least of its classes; the first such fold on ties."""
+    held = [dict.fromkeys(CLASSES, 0) for _ in range(folds)]
+    out = []
+    for g in groups:
+        costs = [sum(load[c] * g[f"n_{c + 1}"] / max(totals[c], 1) for c in CLASSES) for load in held]
+        fold = costs.index(min(costs))
+        for c in CLASSES:
+            held[fold][c] += g[f"n_{c + 1}"]
+        out.append((g["model_group"], fold))
+    return out
+
 
-    Groups are lined up per main class, largest first and shuffled among equals,
-    and dealt out back and forth. Groups are never split, nothing is collected.
+def deal_folds(groups: DataFrame, folds: int, seed: int, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """Add a fold per group so that rows and class mix are alike in all folds; groups are never split.
+
+    The ``heavy`` largest groups are placed one by one, each where its classes are
+    rarest so far. The others are lined up per main class in the order of a hash and
+    cut into pieces of equal rows by their running sums, so a fold is off by less
+    than one of them per class. Only the largest groups reach the driver.
     """
-    most = F.greatest(*[F.col(f"n_{c + 1}") for c in CLASSES])
+    counts = [f"n_{c + 1}" for c in CLASSES]
+    noise = F.md5(F.concat(F.lit(f"{seed}:"), "model_group"))
+    noisy = groups.withColumn("_noise", noise)
+    whole = groups.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts]).first()  # one row
+    largest = noisy.orderBy(F.desc("n_rows"), "_noise", "model_group").limit(heavy).collect()
+    placed = _place_heavy(largest, folds, {c: whole[n] for c, n in zip(CLASSES, counts)})
+    table = groups.sparkSession.createDataFrame(placed, "_placed string, fold int")  # at most ``heavy`` rows
+    joined = noisy.join(F.broadcast(table), F.col("model_group") == F.col("_placed"), "left").drop("_placed")
+
+    most = F.greatest(*[F.col(n) for n in counts])
     main = F.when(F.col("n_0") == most, 0).when(F.col("n_1") == most, 1).otherwise(2)
-    grain = 1 << 30
-    noise = F.pmod(F.xxhash64(F.lit(seed), "model_group"), F.lit(grain)) / F.lit(float(grain))
-    # Groups that share a place are told apart by name, so the deal is repeatable.
-    lined = groups.withColumns({"_main": main, "_line": noise - F.col("n_rows")})
-    places = lined.groupBy("_main", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = running_sums(places, "_main", "_line", {"_upto": "_n"}, parts).select(
-        F.col("_main").alias("_m"), F.col("_line").alias("_l"), (F.col("_upto") - F.col("_n")).alias("_ahead")
-    )
-    same_place = Window.partitionBy("_main", "_line").orderBy("model_group")
-    seat = F.col("_ahead") + F.row_number().over(same_place) - 1
-    joined = lined.join(ahead, (F.col("_main") == F.col("_m")) & (F.col("_line") == F.col("_l")))
-    turn = F.pmod(F.col("_seat"), F.lit(2 * folds))
-    fold = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn)
-    return (
-        joined.withColumn("_seat", seat)
-        .withColumn("fold", F.pmod(fold + F.col("_main"), F.lit(folds)).cast("int"))
-        .drop("_main", "_line", "_m", "_l", "_ahead", "_seat")
-    )
+    tail = joined.where("fold is null").drop("fold").withColumns({"_main": main, "_line": F.concat("_noise", "model_group")})
+    lined = running_sums(tail, "_main", "_line", {"_upto": "n_rows"})
+    cut = F.least(F.expr(f"(_upto - n_rows) * {folds} div _upto_total"), F.lit(folds - 1)).cast("int")
+    dealt = lined.select(*groups.columns, cut.alias("fold"))
+    return joined.where("fold is not null").select(*groups.columns, "fold").unionAll(dealt)
 
 
 def fold_scores(dealt: DataFrame, share: float) -> DataFrame:
@@ -236,63 +258,11 @@ def split_stats(split: DataFrame) -> DataFrame:
 
 def fill_values(train: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
     """Most frequent text (lowest on ties) and exact median per column; all-null columns have none."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in categorical])
-    counted = (
-        train.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    modes = counted.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("text_value"))
+    modes = most_frequent(value_counts(train, categorical))
     out = modes.select("column", "text_value", F.lit(None).cast("double").alias("number_value"))
     if not numeric:
         return out
-    numbers = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in numeric])
-    medians = exact_percentiles(train.select(F.inline(numbers)), "value", [0.5], by="column")
-    return out.unionAll(
-        medians.select("column", F.lit(None).cast("string"), F.element_at("quantiles", 1))
-    )
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def preparation(train: DataFrame, categorical: list[str], numeric: list[str], one_hot_limit: int, hash_size: int) -> list:
-    """Pipeline stages: fill, encode, assemble.
-
-    A column with few values gets one slot per value (none for an unseen one). A
-    column with many shares a fixed number of hashed slots, so that neither the
-    driver nor the feature vector grows with the data.
-    """
-    fills = {r["column"]: r for r in fill_values(train, categorical, numeric).collect()}  # one row per column
-    categorical = [c for c in categorical if c in fills]
-    numeric = [c for c in numeric if c in fills]
-    counts = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first() if categorical else {}
-    few = [c for c in categorical if counts[c] <= one_hot_limit]
-    many = [c for c in categorical if counts[c] > one_hot_limit]
-
-    filled = [f"coalesce(`{c}`, {_quoted(fills[c]['text_value'])}) as `in_{c}`" for c in categorical]
-    filled += [f"coalesce(`{c}`, double('{fills[c]['number_value']}')) as `in_{c}`" for c in numeric]
-    stages = [SQLTransformer(statement=f"select *, {', '.join(filled)} from __THIS__")]
-    parts = [f"in_{c}" for c in numeric]
-    if few:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"in_{c}" for c in few], outputCols=[f"ix_{c}" for c in few], handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            )
-        )
-        # The slot dropped is the one for unseen values.
-        stages.append(
-            OneHotEncoder(inputCols=[f"ix_{c}" for c in few], outputCols=[f"oh_{c}" for c in few], dropLast=True)
-        )
-        parts += [f"oh_{c}" for c in few]
-    if many:
-        stages.append(FeatureHasher(inputCols=[f"in_{c}" for c in many], outputCol="hashed", numFeatures=hash_size))
-        parts.append("hashed")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return stages
+    return out.unionAll(medians(train, numeric).select("column", F.lit(None).cast("string"), "number_value"))
 
 
 # --- training and scoring ----------------------------------------------------
@@ -300,36 +270,56 @@ def preparation(train: DataFrame, categorical: list[str], numeric: list[str], on
 
 @dataclass
 class LifecycleModel:
-    """A fitted pipeline with its feature list and decision weights."""
+    """A fitted forest with its encoder, feature list and decision weights."""
 
-    pipeline: PipelineModel
+    forest: RandomForestClassificationModel
+    encoder: Encoder
     features: list[str]
     weights: dict[int, float] = field(default_factory=lambda: dict.fromkeys(CLASSES, 1.0))
 
-    def scores(self, rows: DataFrame) -> DataFrame:
+    def scores(self, rows: DataFrame, spread_by: str = "device_name") -> DataFrame:
         """Add ``scores``: the class probabilities in class order."""
-        return self.pipeline.transform(rows).withColumn("scores", vector_to_array("probability"))
+        encoded = rows if "features" in rows.columns else self.encoder.transform(rows, spread_by)
+        return self.forest.transform(encoded).withColumn("scores", vector_to_array("probability"))
 
 
 @dataclass
 class TrainingOptions:
+    """``fit_rows`` bounds the rows the forest is fitted on; above it a sample by hash of the name is taken."""
+
     trees: int = 500
     max_depth: int = 30
     min_leaf: int = 2
     seed: int = 42
-    one_hot_limit: int = 64
-    hash_size: int = 512
+    fit_rows: int = 1_000_000
+
+
+def training_counts(train: DataFrame, features: list[str]) -> tuple[dict[str, float], dict[int, int]]:
+    """Share of nulls per feature and rows per class of the training split, by one pass."""
+    missing = F.array(*[F.struct(F.lit(c).alias("column"), F.avg(F.isnull(f"`{c}`").cast("int")).alias("rate")) for c in features])
+    row = train.agg(missing.alias("missing"), *[F.count_if(F.col("target") == c).alias(f"n_{c + 1}") for c in CLASSES]).first()
+    return {r["column"]: r["rate"] for r in row["missing"]}, {c: row[f"n_{c + 1}"] for c in CLASSES}
+
+
+def usable(rates: dict[str, float | None]) -> list[str]:
+    """Features that are not mostly missing."""
+    return [c for c, rate in rates.items() if rate is not None and rate <= MISSING_LIMIT]
 
 
 def usable_features(train: DataFrame, features: list[str]) -> list[str]:
     """Features that are not mostly missing in the training split."""
-    rates = {r["column"]: r["missing_rate"] for r in missing_rates(train, features).collect()}  # one row per column
-    return [c for c in features if rates[c] is not None and rates[c] <= MISSING_LIMIT]
+    return usable(training_counts(train, features)[0])
+
 
+def feature_rates(split: DataFrame, features: list[str]) -> DataFrame:
+    """Missing rate of every feature in the training split, and whether the feature is used."""
+    rates = missing_rates(split.where("split = 'train'"), features)
+    return rates.withColumn("used", F.coalesce(F.col("missing_rate") <= MISSING_LIMIT, F.lit(False)))
 
-def with_class_weights(train: DataFrame) -> DataFrame:
+
+def with_class_weights(train: DataFrame, counts: dict[int, int] | None = None) -> DataFrame:
     """Weight n / (classes * n_class) per row; every class must occur."""
-    counts = {r["target"]: r["n_rows"] for r in class_distribution(train).collect()}  # three rows
+    counts = counts or {r["target"]: r["n_rows"] for r in class_distribution(train).collect()}  # three rows
     check_classes([c for c, n in counts.items() if n > 0])
     whole = sum(counts.values())
     weight = F.lit(1.0)
@@ -338,16 +328,27 @@ def with_class_weights(train: DataFrame) -> DataFrame:
     return train.withColumns({"weight": weight, "label": (F.col("target") + 1).cast("double")})
 
 
-def fit(train: DataFrame, features: list[str], options: TrainingOptions = TrainingOptions()) -> LifecycleModel:
-    kept = usable_features(train, features)
-    categorical = [c for c in kept if c not in NUMERIC_FEATURES]
-    numeric = [c for c in kept if c in NUMERIC_FEATURES]
-    stages = preparation(train, categorical, numeric, options.one_hot_limit, options.hash_size)
+def fit_preparation(split: DataFrame, features: list[str]) -> tuple[Encoder, list[str], dict[int, int]]:
+    """Encoder, used features and class counts of the training split: two passes over it."""
+    train = split.where("split = 'train'")
+    rates, counts = training_counts(train, features)
+    kept = usable(rates)
+    encoder = fit_encoder(train, [c for c in kept if c not in NUMERIC_FEATURES], [c for c in kept if c in NUMERIC_FEATURES])
+    return encoder, kept, counts
+
+
+def fit(encoded: DataFrame, counts: dict[int, int], options: TrainingOptions = TrainingOptions()) -> RandomForestClassificationModel:
+    """The forest on encoded training rows."""
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", numTrees=options.trees,
         maxDepth=options.max_depth, minInstancesPerNode=options.min_leaf, seed=options.seed,
     )
-    return LifecycleModel(Pipeline(stages=[*stages, forest]).fit(with_class_weights(train)), kept)
+    whole = sum(counts.values())
+    if whole > options.fit_rows:
+        grain = 1 << 30
+        place = F.pmod(F.xxhash64(F.lit(options.seed), "device_name"), F.lit(grain))
+        encoded = encoded.where(place < int(grain * options.fit_rows / whole))
+    return forest.fit(with_class_weights(encoded, counts))
 
 
 def tune(model: LifecycleModel, validation: DataFrame) -> LifecycleModel:
@@ -355,7 +356,7 @@ def tune(model: LifecycleModel, validation: DataFrame) -> LifecycleModel:
     grid = weight_grid(model.scores(validation), actual="target", scores="scores")
     best = grid.filter("is_best").first()  # one row
     return LifecycleModel(
-        model.pipeline, model.features, {-1: best["weight_passed"], 0: 1.0, 1: best["weight_within"]}
+        model.forest, model.encoder, model.features, {-1: best["weight_passed"], 0: 1.0, 1: best["weight_within"]}
     )
 
 
@@ -378,9 +379,20 @@ def train_lifecycle_model(
     ``features`` names the features of a frame already cut down by ``model_input``.
     """
     features = features or feature_columns(devices)
-    split = written_table(split_rows(written_table(training_rows(devices, as_of, features))))
-    model = fit(split.filter("split = 'train'"), features, options)
-    return tune(model, split.filter("split = 'val'")), split
+    split = split_rows(written_table(training_rows(devices, as_of, features)))
+    encoder, kept, counts = fit_preparation(split, features)
+    # The only other copy of the rows: all splits with their vectors, read by fit, tuning and evaluation.
+    encoded = encoder.transform(split, "device_name")
+    model = LifecycleModel(fit(encoded.where("split = 'train'"), counts, options), encoder, kept)
+    return tune(model, encoded.where("split = 'val'")), encoded
+
+
+def evaluate_model(model: LifecycleModel, split: DataFrame) -> dict[str, DataFrame]:
+    """Report, confusion, AUC and ROC curve of the model on the test split, from one grouped count."""
+    tested = decide(model.scores(split.where("split = 'test'")), model.weights)
+    names = {c: f"score_{c + 1}" for c in CLASSES}
+    tested = tested.withColumns({name: F.element_at("scores", k) for k, name in enumerate(names.values(), 1)})
+    return evaluate(tested, "target", "predicted_behavior_class", names)
 
 
 def score_unknown(model: LifecycleModel, devices: DataFrame) -> DataFrame:
@@ -388,7 +400,7 @@ def score_unknown(model: LifecycleModel, devices: DataFrame) -> DataFrame:
     devices = with_optional(devices, {c: "string" for c in model.features})
     meta = [F.col(c).alias(f"meta_{c}") for c in META if c in devices.columns]
     rows = unknown_eol(devices).select(*meta, *feature_values(model.features))
-    decided = decide(model.scores(rows), model.weights)
+    decided = decide(model.scores(rows, "meta_device_name"), model.weights)
     return decided.select(
         *[F.col(f"meta_{c}").alias(c) for c in META if c in devices.columns],
         "predicted_behavior_class",
@@ -398,7 +410,8 @@ def score_unknown(model: LifecycleModel, devices: DataFrame) -> DataFrame:
 
 
 def save_model(model: LifecycleModel, path: str) -> None:
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    model.forest.write().overwrite().save(f"{path}/forest")
+    model.encoder.save(f"{path}/encoder")
     SparkSession.active().createDataFrame(
         [(model.features, {int(k): float(v) for k, v in model.weights.items()})],
         "features array<string>, weights map<int, double>",
@@ -407,4 +420,5 @@ def save_model(model: LifecycleModel, path: str) -> None:
 
 def load_model(spark, path: str) -> LifecycleModel:
     row = spark.read.parquet(f"{path}/decision").first()
-    return LifecycleModel(PipelineModel.load(f"{path}/pipeline"), list(row["features"]), dict(row["weights"]))
+    forest, encoder = RandomForestClassificationModel.load(f"{path}/forest"), load_encoder(spark, f"{path}/encoder")
+    return LifecycleModel(forest, encoder, list(row["features"]), dict(row["weights"]))
