@@ -32,47 +32,47 @@ SCHEMAS = {
 TABLES = tuple(SCHEMAS)
 
 _STATE = "translate(lpad(cast(s_nationkey as string), 2, '0'), '0123456789', 'ABCDEFGHIJ')"
-_SITE = "translate(lpad(cast(s_suppkey % 1000 as string), 3, '0'), '0123456789', '{0}')"
-_SITE_UPPER = _SITE.format("ABCDEFGHIJ")
-_SITE_LOWER = _SITE.format("abcdefghij")
+
+
+def _place(divisor: int, alphabets: int) -> str:
+    """One character of a site code: a decimal digit of the supplier, in one of three alphabets by its thousands."""
+    digit = f"cast(floor(s_suppkey / {divisor}) as bigint) % 10"
+    alphabet = f"cast(floor(s_suppkey / {1000 * alphabets}) as bigint) % 3"
+    return f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123', cast({digit} + 10 * ({alphabet}) + 1 as int), 1)"
+
+
+# Three characters that differ for 27,000 suppliers; beyond that, sites share codes and devices multiply.
+_SITE = f"concat({_place(100, 9)}, {_place(10, 3)}, {_place(1, 1)})"
 
 VIEWS = {
     # Device names and row positions. Rows with one name and one position are equal in
     # every column, so that the position settles the order of a name's rows.
     "dev_raw": f"""
 select l_linenumber % 4 as src_no,
-  concat({_STATE}, {_SITE_UPPER}, '-', cast(l_orderkey as string)) as nm,
+  concat({_STATE}, {_SITE}, '-', cast(l_orderkey as string)) as nm,
   (((l_partkey * 10 + l_linenumber) * 100 + cast(l_quantity as bigint)) * 100 + cast(round(l_tax * 100) as bigint)) * 10
     + case l_returnflag when 'A' then 0 when 'N' then 2 else 4 end
     + case l_linestatus when 'F' then 0 else 1 end as source_row_index,
   l_partkey, cast(l_quantity as int) as qty, l_returnflag, l_linestatus, cast(round(l_tax * 100) as int) as tax
 from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey""",
-    # One representative supplier per site: a code has three characters, so larger
-    # tables hold several suppliers per code.
-    "site_rep": f"""
-select {_STATE} as state, {_SITE_UPPER} as code, {_SITE_LOWER} as lower_code,
-  min(s_suppkey) as suppkey, min(s_nationkey) as nationkey
-from {{supplier}} group by s_nationkey, s_suppkey % 1000""",
-    "code_rep": """
-select code, min(suppkey) as suppkey, min_by(nationkey, suppkey) as nationkey from {site_rep} group by code""",
-    # Sites: lower-case code, some names missing.
-    "solid": """
-select lower_code as site_code, state,
-  case when suppkey % 7 = 3 then null else concat('Supplier#', lpad(cast(suppkey as string), 9, '0')) end as site_name,
-  concat(cast(suppkey as string), ' MAIN ST') as street_address_1, cast(null as string) as street_address_2,
-  n_name as city, lpad(cast(suppkey as string), 5, '0') as zip
-from {site_rep} join {nation} on nationkey = n_nationkey""",
-    # Site coordinates: bad latitude text, sites left out, some owners missing.
-    "solid_loc": """
-select code as site_code, concat('Supplier#', lpad(cast(suppkey as string), 9, '0'), ' LOC') as site_name,
-  case when suppkey % 10 = 9 then 'unknown' else cast(25 + suppkey % 24 as string) end as latitude,
-  cast(-70 - suppkey % 50 as string) as longitude, n_name as physicaladdresscounty,
-  r_name as call_group, case when suppkey % 5 = 0 then null else concat('OWNER', cast(suppkey % 9 as string)) end as owner
-from {code_rep} join {nation} on nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
-where suppkey % 11 <> 10""",
+    # Sites, one per supplier: lower-case code, some names missing.
+    "solid": f"""
+select lower({_SITE}) as site_code, {_STATE} as state,
+  case when s_suppkey % 7 = 3 then null else concat('Supplier#', lpad(cast(s_suppkey as string), 9, '0')) end as site_name,
+  concat(cast(s_suppkey as string), ' MAIN ST') as street_address_1, cast(null as string) as street_address_2,
+  n_name as city, lpad(cast(s_suppkey as string), 5, '0') as zip
+from {{supplier}} join {{nation}} on s_nationkey = n_nationkey""",
+    # Site coordinates: some codes mistyped (they meet no site), bad latitude text, some owners missing.
+    "solid_loc": f"""
+select case when s_suppkey % 11 = 10 then concat('-', substr({_SITE}, 2, 2)) else {_SITE} end as site_code,
+  concat('Supplier#', lpad(cast(s_suppkey as string), 9, '0'), ' LOC') as site_name,
+  case when s_suppkey % 10 = 9 then 'unknown' else cast(25 + s_suppkey % 24 as string) end as latitude,
+  cast(-70 - s_suppkey % 50 as string) as longitude, n_name as physicaladdresscounty,
+  r_name as call_group, case when s_suppkey % 5 = 0 then null else concat('OWNER', cast(s_suppkey % 9 as string)) end as owner
+from {{supplier}} join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey""",
     # Sites that are closed.
-    "decom": """
-select lower_code as site_cd from {site_rep} where suppkey % 13 = 12""",
+    "decom": f"""
+select lower({_SITE}) as site_cd from {{supplier}} where s_suppkey % 13 = 12""",
     # Inventory 1: half of the hosts carry a blank, lower case and a domain.
     "catctr": """
 select case when qty = 50 then null
@@ -119,13 +119,13 @@ select concat('P', cast(p_partkey as string)) as model, p_name as model_parent,
   case when p_size % 8 = 0 then 'TBD' when p_size % 8 = 1 then null else cast(p_size * 100 as string) end as material_cost,
   cast(p_size * 20 as string) as labor_cost, 'http://example' as info_url
 from {part}""",
-    # Price components: one device row per brand, one brand without prices.
+    # Price components: one device row per brand; the prices of one brand stand under another name.
     "pricing": """
-select concat(' r', lower(p_brand)) as parent_product, concat('sku', cast(p_partkey as string)) as product,
+select case when p_brand = 'Brand#5' then 'unlisted' else concat(' r', lower(p_brand)) end as parent_product, concat('sku', cast(p_partkey as string)) as product,
   case when p_partkey in (select min(p_partkey) from {part} group by p_brand) then 'y' else 'N' end as device,
   case when p_size % 9 = 0 then 'n/a' else cast(p_size * 10 as string) end as pricing,
   '1' as labor_de, '2' as labor_se, 'x' as labor_fo
-from {part} where p_brand <> 'Brand#5'""",
+from {part}""",
     # Scored devices: one class is invalid, confidence may exceed 1.
     "predictions": """
 select case p_partkey % 5 when 4 then null

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens, snake_columns
-from ..operators.sizing import join_dimension, settle
+from ..operators.sizing import join_dimension, settle, written_table
 
 # Tab names in their required order.
 TAB_ORDER = (
@@ -83,22 +84,47 @@ def conform(name: str, df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
-def number_rows(scan: DataFrame) -> DataFrame:
-    """Add a row number in the order of the files by name and of the rows in each file; it may leave gaps.
+def _sums_before(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_before``: the rows (``_n``) of all parts that sort first. A row per file or part of a file, in one task."""
+    before = Window.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def _counts_rows(scan: DataFrame) -> bool:
+    """Does the format tell the position of a row in its file?"""
+    try:
+        scan.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
 
-    Must be applied to the scan itself. Spark packs parts of files into tasks by
-    size, so the parts are ranked by path and place first; within its part a row is
-    numbered by the task that reads it. The ranked table has a row per part and is
-    measured before it is joined.
+
+def number_rows(scan: DataFrame) -> DataFrame:
+    """Add the row number, from 0, in the order of the files by name and of the rows in each file.
+
+    Must be applied to the scan itself. The numbers do not depend on how Spark
+    splits the files, which changes with the settings and the cores at hand. Parquet
+    tells the position of each row, so the rows of the files before are added. Other
+    formats do not: their rows are written once with the part of the file and the
+    place that one and the same scan saw, and numbered from that. The tables of files
+    and parts are measured before they are joined; a row without a number is an error.
     """
-    at = {"_part_path": F.col("_metadata.file_path"), "_part_start": F.col("_metadata.file_block_start")}
-    columns = scan.columns
-    placed = scan.withColumns({**at, "_in_task": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    parts = scan.select(*[c.alias(n) for n, c in at.items()]).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("_part_path", "_part_start")
-    ranked = parts.select(F.col("_part_path").alias("_path"), F.col("_part_start").alias("_start"), F.row_number().over(order).alias("_rank"))
-    joined = join_dimension(placed, settle(ranked)[0], [("_part_path", "_path"), ("_part_start", "_start")], spread_by="_in_task")
-    return joined.select(*[f"`{c}`" for c in columns], (F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_in_task")).alias(ROW_INDEX))
+    columns = [f"`{c}`" for c in scan.columns]
+    path = F.col("_metadata.file_path").alias("_path")
+    if _counts_rows(scan):
+        keys = ["_path"]
+        placed = scan.select(*columns, path, F.col("_metadata.row_index").alias("_place"))
+        sizes = scan.select(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("bigint").alias("_first"))
+    else:
+        keys = ["_path", "_start"]
+        seen = scan.select(*columns, path, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place"))
+        placed = written_table(seen)
+        sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    known = _sums_before(sizes, keys).select(*[F.col(k).alias(f"{k}_of") for k in keys], "_before", "_first")
+    joined = join_dimension(placed, settle(known)[0], [(k, f"{k}_of") for k in keys], spread_by="_place")
+    number = F.col("_before") + F.col("_place") - F.col("_first")
+    lost = F.raise_error(F.lit("a row of a file that was not there when its rows were counted")).cast("bigint")
+    return joined.select(*columns, F.coalesce(number, lost).alias(ROW_INDEX))
 
 
 def read_tab(spark: SparkSession, path: str, name: str, fmt: str, multiline: bool = False) -> DataFrame:
