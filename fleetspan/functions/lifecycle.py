@@ -130,6 +130,11 @@ def with_lifecycle(df: DataFrame, as_of: dt.date | str, horizon_days: int = DEFA
     )
 
 
+def exact(value: Column | str) -> Column:
+    """A score or an amount as a decimal: sums of it do not depend on the order of the rows, so neither do ranks by them."""
+    return col(value).cast("decimal(28,9)")
+
+
 def lifecycle_measures(df: DataFrame) -> DataFrame:
     """Additive measures per row (``m_*``); sums of them feed every count, total and mean."""
     bucket = F.col("eol_bucket")
@@ -140,11 +145,11 @@ def lifecycle_measures(df: DataFrame) -> DataFrame:
             "m_days_known": F.col("days_to_eol").isNotNull().cast("bigint"),
             "m_days": F.col("days_to_eol").cast("bigint"),
             "m_weighted_days": weighted_days("days_to_eol").cast("bigint"),
-            "m_coverage": F.col("support_coverage_score"),
-            "m_risk": F.col("security_risk_score"),
-            "m_replacement": F.col("replacement_cost_estimate"),
-            "m_near_term": F.col("near_term_cost_component"),
-            "m_labor": F.col("labor_cost_estimate"),
+            "m_coverage": exact("support_coverage_score"),
+            "m_risk": exact("security_risk_score"),
+            "m_replacement": exact("replacement_cost_estimate"),
+            "m_near_term": exact("near_term_cost_component"),
+            "m_labor": exact("labor_cost_estimate"),
         }
     )
 
@@ -155,10 +160,15 @@ MEASURES = (
 )
 
 
+# Measures that are decimals; what is reported of them are doubles.
+DECIMALS = ("coverage", "risk", "replacement", "near_term", "labor")
+
+
 def total(measure: str, name: str) -> Column:
-    return F.sum(f"m_{measure}").alias(name)
+    added = F.sum(f"m_{measure}")
+    return (added.cast("double") if measure in DECIMALS else added).alias(name)
 
 
 def mean(measure: str, name: str, weight: str = "devices") -> Column:
     """Mean of a measure over its rows; null where no row has one."""
-    return F.try_divide(F.sum(f"m_{measure}"), F.sum(f"m_{weight}")).alias(name)
+    return F.try_divide(F.sum(f"m_{measure}").cast("double"), F.sum(f"m_{weight}")).alias(name)

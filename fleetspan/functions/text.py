@@ -68,7 +68,9 @@ def numeric(df: DataFrame, name: str) -> Column:
 
 def to_date(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
     """Date from text in one declared format, also with a time of midnight behind it; other texts are null."""
-    return F.try_to_date(F.regexp_replace(strip(col(c).cast("string")), r"[ T]00:00:00(\.0+)?$", ""), fmt)
+    text = strip(col(c).cast("string"))
+    day = F.when(F.length(text) <= len("2000-01-01"), text).otherwise(F.regexp_replace(text, r"[ T]00:00:00(\.0+)?$", ""))
+    return F.try_to_date(day, fmt)
 
 
 def source_label(c: Column | str) -> Column:

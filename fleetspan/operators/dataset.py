@@ -125,6 +125,7 @@ COLUMN_ORDER = (
     "replacement_labor_se_hours", "replacement_labor_fo_hours", "pricing_component_count",
     "pricing_total_estimate",
 )
+# Columns that only build the dataset, that are nearly empty, and that are not analysed.
 HELPERS = (
     "source_priority", "source_tiebreak", ROW_INDEX, "model_key", "parent_product_key", "device_type_raw",
     "device_family_raw",

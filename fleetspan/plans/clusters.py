@@ -12,7 +12,7 @@ from ..functions.lifecycle import (
     with_lifecycle,
 )
 from ..operators.ordered import exact_percentiles
-from ..operators.sizing import written_table
+from ..operators.sizing import settle, written_table
 from ..sources.devices import mappable
 
 CLUSTER_KEYS = ("loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "loc_longitude")
@@ -20,6 +20,7 @@ CLUSTER_KEYS = ("loc_state", "loc_site_code", "loc_site_name", "loc_latitude", "
 DEFAULT_DOMAIN = (-365.0, 365.0)
 RADIUS_BASE = 4.0
 RADIUS_SPAN = 28.0
+PRUNING_REQUESTS = 1000  # up to so many requested locations are known to the plan
 
 
 def check_state(state: str) -> str:
@@ -142,19 +143,18 @@ def location_summaries(devices: DataFrame, as_of: dt.date | str, horizon_days: i
     keys = ["loc_state", "loc_site_code"]
     frame = lifecycle_measures(with_lifecycle(mappable(devices), as_of, horizon_days))
     sums = ("m_devices", *(f"m_{b}" for b in BUCKETS), "m_days_known", "m_days")
-    per_name = frame.groupBy(*keys, "device_name", "device_source").agg(
-        F.min("loc_site_name").alias("site_name"), *[F.sum(m).alias(m) for m in sums]
-    )
+    per_name = frame.groupBy(*keys, "device_name", "device_source", "loc_site_name").agg(*[F.sum(m).alias(m) for m in sums])
     # A name in two sources counts once: at its first source.
-    one_name = Window.partitionBy(*keys, "device_name").orderBy("device_source")
+    one_name = Window.partitionBy(*keys, "device_name").orderBy("device_source", "loc_site_name")
     named = F.col("device_name").isNotNull() & (F.row_number().over(one_name) == 1)
     per_source = (
         per_name.withColumn("m_names", named.cast("bigint"))
         .groupBy(*keys, "device_source")
-        .agg(F.min("site_name").alias("site_name"), *[F.sum(m).alias(m) for m in (*sums, "m_names")])
+        .agg(F.collect_set("loc_site_name").alias("site_names"), *[F.sum(m).alias(m) for m in (*sums, "m_names")])
     )
     by_site = per_source.groupBy(*keys).agg(
-        F.min("site_name").alias("site_name"),
+        # The few names of a site; a minimum over texts would sort all rows.
+        F.array_min(F.flatten(F.collect_list("site_names"))).alias("site_name"),
         total("names", "device_count"),
         total("days_known", "eol_known_devices"),
         total("overdue", "overdue_devices"),
@@ -181,13 +181,25 @@ def location_summary(
     requests: DataFrame,
     as_of: dt.date | str,
     horizon_days: int = DEFAULT_HORIZON_DAYS,
+    strict: bool = True,
 ) -> DataFrame:
-    """Summaries of the requested locations, with ``found`` and zero counts where there is none."""
+    """Summaries of the requested locations, with ``found`` and zero counts where there is none.
+
+    The requests are measured: while they are few they are broadcast, and their
+    states prune the scan of a dataset laid out by state. ``strict`` fails the job
+    when names and rows of a location differ.
+    """
     check_horizon(horizon_days)
     keys = ["loc_state", "loc_site_code"]
-    wanted = requests.select(*keys).distinct()
-    local = devices.join(wanted, keys, "left_semi")
-    out = wanted.join(location_summaries(local, as_of, horizon_days), keys, "left")
+    (wanted,) = settle(requests.select(*keys).distinct())
+    asked = wanted.table
+    if wanted.n_rows <= PRUNING_REQUESTS:
+        devices = devices.where(F.col("loc_state").isin([r[0] for r in asked.select("loc_state").distinct().collect()]))
+    local = devices.join(F.broadcast(asked) if wanted.fits_broadcast else asked, keys, "left_semi")
+    found = location_summaries(local, as_of, horizon_days)
+    found = check_consistent(found) if strict else found
+    # As many locations as requests at most, and that many are known to fit.
+    out = asked.join(F.broadcast(found) if wanted.n_rows <= PRUNING_REQUESTS else found, keys, "left")
     counts = ["total_devices", "known_count", *(f"{b}_count" for b in BUCKETS)]
     return out.withColumns(
         {

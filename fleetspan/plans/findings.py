@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lifecycle import (
-    BUCKETS, DEFAULT_HORIZON_DAYS, MEASURES, check_horizon, lifecycle_measures, mean, percent, total, with_lifecycle,
+    BUCKETS, DEFAULT_HORIZON_DAYS, MEASURES, check_horizon, exact, lifecycle_measures, mean, percent, total, with_lifecycle,
 )
 from ..operators.sizing import written_table
 from ..sources.devices import mappable
 
 SITE_KEYS = ("loc_state", "loc_site_code", "loc_site_name", "site_id")
 GRAIN_KEYS = (*SITE_KEYS, "device_source", "device_model")
-RISK_NOTE = "Security risk is a proxy from the lifecycle bucket and missing version data."
 
 
 def findings_frame(devices: DataFrame, as_of: dt.date | str, horizon_days: int = DEFAULT_HORIZON_DAYS) -> DataFrame:
@@ -134,7 +133,7 @@ def findings_kpis(sites: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_sites"),
         F.coalesce(F.sum("overdue_count"), zero).alias("overdue_devices"),
         F.coalesce(F.sum("unknown_count"), zero).alias("unknown_eol_devices"),
-        F.coalesce(F.sum("near_term_cost"), F.lit(0.0)).alias("near_term_cost_estimate"),
+        F.coalesce(F.sum(exact("near_term_cost")).cast("double"), F.lit(0.0)).alias("near_term_cost_estimate"),
     )
 
 

@@ -307,7 +307,7 @@ def cost_by_bucket(frame: DataFrame) -> DataFrame:
     """Replacement and labour cost per bucket in fixed order, zero-filled."""
 
     def within(b: str, measure: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("eol_bucket") == b, F.col(measure))), F.lit(0.0))
+        return F.coalesce(F.sum(F.when(F.col("eol_bucket") == b, F.col(measure))).cast("double"), F.lit(0.0))
 
     rows = _fixed_rows(
         *[
