@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -34,11 +35,13 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetspan-bench-"))
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from checks.registry import QUERIES
+    from fleetspan.operators.sizing import release_tables
 
     names = sys.argv[1:] or HEADLINE
     QUERIES["findings_kpis"](spark, directory).collect()  # starts the session's caches and compiler
@@ -47,6 +50,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    release_tables(spark)
     print(
         json.dumps(
             {

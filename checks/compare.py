@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -22,8 +23,10 @@ def session(cpus: str = "8") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("fleetspan")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetspan-compare-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
@@ -68,6 +71,7 @@ def difference(spark_df, relation) -> str | None:
 
 def main(argv: list[str]) -> int:
     from checks.registry import QUERIES
+    from fleetspan.operators.sizing import release_tables
     from checks.twins import TWINS
 
     directory = argv[0] if argv else "/root/testdata/sf0.01"
@@ -89,6 +93,7 @@ def main(argv: list[str]) -> int:
             problem = verdict = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name:26s} {time.time() - start:6.1f}s  {verdict}", flush=True)
+    release_tables(spark)
     print(f"{len(names) - bad} of {len(names)} good")
     return 1 if bad else 0
 

@@ -5,25 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.functions import scores, text
 from fleetspan.functions.lifecycle import days_to_eol, eol_bucket
 from fleetspan.operators import dataset, filters
-from fleetspan.operators.sizing import written_table
+from fleetspan.operators.sizing import generation, new_folder, written_table
 from fleetspan.plans import clusters, evaluation, findings, inferences, model, reports
 from fleetspan.sources.binding import AS_OF, HORIZON, bind_tabs, view
 from fleetspan.sources.devices import mappable, normalize_devices
 from fleetspan.sources.predictions import normalize_predictions
-from fleetspan.sources.tabs import Tabs, tab_shapes
+from fleetspan.sources.tabs import INVENTORY_TABS, ROW_INDEX, Tabs, read_tabs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Forest of the registered training query; the library's default is 500 trees.
-TRAINING = model.TrainingOptions(trees=20, max_depth=8)
+# The registered forest has the library's defaults (500 trees) and is fitted on so many rows at most.
+TRAINING = model.TrainingOptions(fit_rows=2_000)
+# Elements of an embedding, each taken for a logit.
+LOGITS = 64
 SCORES = {-1: "p_passed", 0: "p_beyond", 1: "p_within"}
 
 
@@ -57,15 +58,16 @@ class Fleet:
         return normalize_devices(dataset.device_dataset(self.filtered, self.dims))
 
 
-_FLEETS: dict[tuple[str, str], Fleet] = {}
+_FLEET: dict[tuple[str, int, str], Fleet] = {}
 
 
 def fleet(spark: SparkSession, d: str) -> Fleet:
-    """Kept per session and directory: the queries share the small dimensions, not the devices."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FLEETS:
-        _FLEETS[key] = Fleet(spark, d)
-    return _FLEETS[key]
+    """Queries on one directory share the small written dimensions until ``release_tables`` deletes them; not the devices."""
+    key = (spark.sparkContext.applicationId, generation(spark), d)
+    if key not in _FLEET:
+        _FLEET.clear()
+        _FLEET[key] = Fleet(spark, d)
+    return _FLEET[key]
 
 
 def devices(spark: SparkSession, d: str) -> DataFrame:
@@ -107,16 +109,19 @@ def on_scored(key: str, function: Callable[[DataFrame], DataFrame]) -> None:
 # --- tabs, keys, filters -----------------------------------------------------
 
 
-@query("tabs_row_counts")
-def tabs_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    tabs = fleet(spark, d).tabs
-    kept = filters.apply_filters(tabs)
-    stages = {"raw": tabs, "filtered": kept}
-    parts = [
-        tab_shapes({n: t for n, t in part.items() if n != "Glossary"}).select(F.lit(s).alias("stage"), "tab", "n_rows")
-        for s, part in stages.items()
-    ]
-    return parts[0].unionAll(parts[1])
+on_tabs("tabs_row_counts", filters.tab_counts)
+
+
+@query("read_tabs_roundtrip")
+def read_tabs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The tabs written as files without row numbers, read back, numbered by their place, and reduced to a row per name."""
+    folder = new_folder(spark, "tabs")
+    for name, tab in fleet(spark, d).tabs.items():
+        if name in INVENTORY_TABS:
+            tab = tab.repartitionByRange(ROW_INDEX).sortWithinPartitions(ROW_INDEX).drop(ROW_INDEX)
+        tab.write.parquet(f"{folder}/{name}.parquet")
+    tabs = filters.apply_filters(read_tabs(spark, folder), cross_source=False)
+    return dataset.best_source_rows(dataset.device_union(tabs)).select("device_name", "device_source", "device_model")
 
 
 on_tabs(
@@ -358,52 +363,57 @@ on_devices(
     .unionAll(model.unknown_eol(df).select("device_name", F.lit("unknown"))),
 )
 on_devices("class_distribution", lambda df: model.class_distribution(model.training_rows(df, AS_OF)))
-on_devices(
-    "missing_rates", lambda df: model.most_missing(model.training_rows(df, AS_OF), model.feature_columns(df))
-)
-
-
-@query("ml_impute")
-def ml_impute(spark: SparkSession, d: str) -> DataFrame:
-    frame = devices(spark, d)
-    columns = model.feature_columns(frame)
-    rows = written_table(model.training_rows(frame, AS_OF))
-    texts = [c for c in columns if c not in model.NUMERIC_FEATURES]
-    return model.fill_values(rows, texts, [c for c in columns if c in model.NUMERIC_FEATURES])
+on_devices("missing_rates", model.missing_preview)
 
 
 def _groups(df: DataFrame) -> DataFrame:
     return written_table(model.group_table(model.training_rows(df, AS_OF)))
 
 
+def _split(df: DataFrame) -> DataFrame:
+    return model.split_rows(written_table(model.training_rows(df, AS_OF)))
+
+
 on_devices("ml_folds", lambda df: model.deal_folds(_groups(df), model.TEST_FOLDS, model.TEST_SEED))
 on_devices(
     "ml_best_fold",
-    lambda df: model.fold_scores(
-        model.deal_folds(_groups(df), model.TEST_FOLDS, model.TEST_SEED), model.TEST_SHARE
+    lambda df: rounded(
+        model.fold_scores(model.deal_folds(_groups(df), model.TEST_FOLDS, model.TEST_SEED), model.TEST_SHARE), "score"
     ),
 )
-on_devices(
-    "split_stats", lambda df: model.split_stats(model.split_rows(written_table(model.training_rows(df, AS_OF))))
-)
+on_devices("split_stats", lambda df: model.split_stats(_split(df)))
+on_devices("split_distribution", lambda df: model.class_distribution(_split(df), by_split=True))
+on_devices("usable_features", lambda df: model.feature_rates(_split(df), model.feature_columns(df)))
+
+
+@query("ml_impute")
+def ml_impute(spark: SparkSession, d: str) -> DataFrame:
+    frame = devices(spark, d)
+    columns = model.feature_columns(frame)
+    train = _split(frame).where("split = 'train'")
+    texts = [c for c in columns if c not in model.NUMERIC_FEATURES]
+    return model.fill_values(train, texts, [c for c in columns if c in model.NUMERIC_FEATURES])
 
 
 @query("ml_features")
 def ml_features(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml import Pipeline
-
+    """Vectors of all known devices over the dictionary of the training split: width, slots in use, and their sum."""
     frame = devices(spark, d)
-    rows = written_table(model.training_rows(frame, AS_OF))
-    kept = model.usable_features(rows, model.feature_columns(frame))
-    texts = [c for c in kept if c not in model.NUMERIC_FEATURES]
-    numbers = [c for c in kept if c in model.NUMERIC_FEATURES]
-    stages = model.preparation(rows, texts, numbers, TRAINING.one_hot_limit, TRAINING.hash_size)
-    encoded = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("x", vector_to_array("features"))
-    return encoded.select(
-        "device_name", "target", F.size("x").alias("n_slots"), F.size(F.filter("x", lambda v: v != 0)).alias("n_active")
+    split = _split(frame)
+    encoder, _, _ = model.fit_preparation(split, model.feature_columns(frame))
+    return encoder.sparse(split, "device_name").select(
+        "device_name", "target", "split", F.col("_sparse.size").alias("n_slots"), F.size("_sparse.indices").alias("n_active"),
+        F.aggregate("_sparse.indices", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("slot_sum"),
     )
 
 
+@query("ml_dictionary")
+def ml_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    frame = devices(spark, d)
+    encoder, _, _ = model.fit_preparation(_split(frame), model.feature_columns(frame))
+    return encoder.dictionary
+
+
 @query("ml_train_score")
 def ml_train_score(spark: SparkSession, d: str) -> DataFrame:
     frame, features = model.model_input(devices(spark, d))
@@ -436,16 +446,38 @@ on_scored(
     "roc_curves",
     lambda df: rounded(evaluation.roc_curves(df, "actual", SCORES), "fpr", "tpr").select("class_id", "fpr", "tpr"),
 )
+
+
+def _evaluation(df: DataFrame) -> DataFrame:
+    """Everything that one grouped count gives, as (part, name, value)."""
+    found = evaluation.evaluate(df, "actual", "predicted", SCORES)
+    text = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
+    metrics = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in ("precision", "recall", "f1", "support")])
+    areas = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in ("macro_auc", "auc_0", "auc_1", "auc_2")])
+    parts = [
+        found["confusion"].select(F.lit("confusion").alias("part"), text(F.col("actual"), F.col("predicted")).alias("name"), F.col("value").cast("double")),
+        found["report"].select("name", F.inline(metrics)).select(F.lit("report"), text(F.col("name"), F.col("m")), "v"),
+        found["auc"].select(F.inline(areas)).select(F.lit("auc"), "m", "v"),
+        found["roc"].groupBy("class_id").count().select(F.lit("roc_corners"), text(F.col("class_id")), F.col("count").cast("double")),
+        found["macro_roc"].agg(F.avg("macro_tpr")).select(F.lit("macro_roc"), F.lit("mean_tpr"), F.col("avg(macro_tpr)")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return rounded(out, "value")
+
+
+on_scored("model_evaluation", _evaluation)
 on_scored("roc_points", lambda df: rounded(evaluation.macro_roc(df, "actual", SCORES), "fpr", "macro_tpr"))
 
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("logits"))
+    return view(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("logits"))
 
 
 @query("eval_loss")
 def eval_loss(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluation.evaluation_loss(_logits(spark, d), "logits", "label", 10), "value")
+    return rounded(evaluation.evaluation_loss(_logits(spark, d), "logits", "label", LOGITS), "value")
 
 
 @query("softmax_scores")

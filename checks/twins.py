@@ -283,7 +283,7 @@ select class_id, support, tp, case when chosen > 0 then cast(tp as double) / cho
   case when support + chosen > 0 then cast(2 * tp as double) / (support + chosen) else 0e0 end as f
 from per_class""",
         "logits": """
-select vec_id, label, list_transform(embedding[1:10], lambda v: cast(v as double)) as x from embeddings""",
+select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings""",
     }
 )
 
@@ -299,7 +299,8 @@ def with_steps(select: str) -> str:
                 needed.add(name)
                 todo.append(STEPS[name])
     terms = ",\n".join(f"{n} as ({STEPS[n].strip()})" for n in STEPS if n in needed)
-    return f"with {terms}\n{select.strip()}" if terms else select.strip()
+    recursive = "recursive " if any(n.endswith("_heavy") for n in needed) else ""
+    return f"with {recursive}{terms}\n{select.strip()}" if terms else select.strip()
 
 
 TWINS: dict[str, str] = {}
@@ -314,13 +315,16 @@ def twin(key: str, select: str) -> None:
 _RAW = {"SOLID": "solid", "SOLID-Loc": "solid_loc", "NA": "na", "PrimeAP": "primeap", "PrimeWLC": "primewlc",
         "CatCtr": "catctr", "Decom": "decom", "ModelData": "modeldata", "Pricing": "pricing"}
 _FILTERED = {t: v if t in ("Decom", "Pricing") else f"f_{v}" for t, v in _RAW.items()}
+# Columns each tab is read for, the row number of the inventories and the link column of the model data included.
+_WIDTH = {"SOLID": 7, "SOLID-Loc": 7, "NA": 14, "PrimeAP": 12, "PrimeWLC": 12, "CatCtr": 13, "Decom": 1, "ModelData": 24, "Pricing": 7}
 twin(
     "tabs_row_counts",
     " union all ".join(
-        [f"select 'raw' as stage, '{t}' as tab, count(*) as n_rows from {v}" for t, v in _RAW.items()]
-        + [f"select 'filtered', '{t}', count(*) from {v}" for t, v in _FILTERED.items()]
+        [f"select 'raw' as stage, '{t}' as tab, count(*) as n_rows, {_WIDTH[t]} as n_columns from {v}" for t, v in _RAW.items()]
+        + [f"select 'filtered', '{t}', count(*), {_WIDTH[t]} from {v}" for t, v in _FILTERED.items()]
     ),
 )
+twin("read_tabs_roundtrip", "select device_name, device_source, device_model from best_rows")
 twin("null_tokens", """
 select case when parent_product not in ('', 'NA', 'n/a', 'NULL') then parent_product end as parent_product,
   case when product not in ('', 'NA', 'n/a', 'NULL') then product end as product,
@@ -632,15 +636,102 @@ select device_name, case when modeldata_eol is null then 'unknown' else 'known'
 twin("class_distribution", """
 select c.t as target, count(l.device_name) as n_rows, round(cast(count(l.device_name) as double) / (select count(*) from learn), 3) as share
 from (values (-1), (0), (1)) c(t) left join learn l on l.target = c.t group by 1""")
-twin("missing_rates", "select column_name as \"column\", missing_rate, missing_rate > 0.5 as too_sparse from (" + " union all ".join(
-    f"select '{c}' as column_name, cast(count(*) filter ({c} is null) as double) / count(*) as missing_rate from learn" for c in FEATURES)
-    + ") order by missing_rate desc, column_name limit 10")
+_located = "select * from devs where loc_state is not null"
+
+
+def rates_twin(rows: str) -> str:
+    return " union all ".join(f"select '{c}' as name, cast(count(*) filter ({c} is null) as double) / count(*) as rate from ({rows})" for c in FEATURES)
+
+
+twin("missing_rates", f"""select name as "column", rate as missing_rate, rate > 0.5 as too_sparse from ({rates_twin(_located)})
+order by rate desc, name limit 10""")
+
+
+# Groups dealt to folds: the largest 64 one by one, the others by pieces of equal rows.
+_N = ("n_0", "n_1", "n_2")
+_G = f"select coalesce(device_model, 'UNKNOWN_MODEL') as model_group, count(*) as n_rows, {', '.join(f'count(*) filter (target = {c - 1}) as n_{c}' for c in range(3))} from learn group by 1"
+
+
+def deal_terms(name: str, groups: str, folds: int, seed: int, share: float) -> None:
+    cost = " + ".join(f"cast(x[{k + 1}] * r.{n} as double) / greatest(t.{n}, 1)" for k, n in enumerate(_N))
+    more = ", ".join(f"l[i][{k + 1}] + r.{n}" for k, n in enumerate(_N))
+    least = "list_position(costs, list_min(costs))"
+    STEPS.update({
+        f"{name}_sums": f"select {', '.join(f'coalesce(sum({n}), 0)::bigint as {n}' for n in _N)}, sum(n_rows)::bigint as n_rows from ({groups})",
+        f"{name}_line": f"""
+select *, md5('{seed}:' || model_group) as noise, row_number() over (order by n_rows desc, md5('{seed}:' || model_group), model_group) as place
+from ({groups})""",
+        f"{name}_heavy": f"""
+select 0::bigint as place, 0::bigint as fold, list_transform(range(0, {folds}), lambda i: [0::bigint, 0::bigint, 0::bigint]) as l
+union all
+select place, best - 1, list_transform(range(1, {folds} + 1), lambda i: case when i = best then [{more.replace('r.', '')}] else l[i] end)
+from (select *, {least} as best from (
+  select r.place, h.l, {', '.join(f'r.{n}' for n in _N)}, list_transform(h.l, lambda x: {cost}) as costs
+  from {name}_heavy h join {name}_line r on r.place = h.place + 1 and r.place <= 64 cross join {name}_sums t))""",
+        f"{name}_tail": f"""
+select *, sum(n_rows) over (partition by main order by noise || model_group rows unbounded preceding) - n_rows as ahead,
+  sum(n_rows) over (partition by main) as main_rows
+from (select *, case when n_0 = greatest(n_0, n_1, n_2) then 0 when n_1 = greatest(n_0, n_1, n_2) then 1 else 2 end as main
+  from {name}_line where place > 64)""",
+        f"{name}_dealt": f"""
+select model_group, n_rows, n_0, n_1, n_2, cast(h.fold as int) as fold from {name}_line r join {name}_heavy h using (place)
+union all
+select model_group, n_rows, n_0, n_1, n_2, cast(least(ahead * {folds} // main_rows, {folds - 1}) as int) from {name}_tail""",
+        f"{name}_folds": f"""
+select *, missing_classes * 10e0 + (0e0 + {' + '.join(f'abs(cast({n} as double) / n_rows - cast(all_{n} as double) / all_rows)' for n in _N)})
+  + abs(cast(n_rows as double) / all_rows - {share}) as score
+from (select f.*, {', '.join(f't.{n} as all_{n}' for n in _N)}, t.n_rows as all_rows, {' + '.join(f'cast(f.{n} = 0 as int)' for n in _N)} as missing_classes
+  from (select fold, {', '.join(f'sum({n})::bigint as {n}' for n in ('n_rows', *_N))} from {name}_dealt group by fold) f cross join {name}_sums t)""",
+        f"{name}_best": f"select fold from {name}_folds order by score, fold limit 1",
+    })
+
+
+STEPS["all_groups"] = _G
+deal_terms("first", "select * from all_groups", 5, 42, 0.2)
+STEPS["other_groups"] = "select model_group, n_rows, n_0, n_1, n_2 from first_dealt where fold <> (select fold from first_best)"
+deal_terms("second", "select * from other_groups", 4, 43, 0.25)
+STEPS["group_splits"] = """
+select model_group, 'test' as split from first_dealt where fold = (select fold from first_best)
+union all
+select model_group, case when fold = (select fold from second_best) then 'val' else 'train' end from second_dealt"""
+STEPS["split_rows"] = "select l.*, g.split from learn l join group_splits g on g.model_group = coalesce(l.device_model, 'UNKNOWN_MODEL')"
+STEPS["train_rows"] = "select * from split_rows where split = 'train'"
+twin("usable_features", f"""select name as "column", rate as missing_rate, coalesce(rate <= 0.5, false) as used
+from ({rates_twin("select * from train_rows")})""")
+twin("ml_folds", "select * from first_dealt")
+twin("ml_best_fold", """
+select fold, n_rows, n_0, n_1, n_2, missing_classes, round(score, 6) as score, fold = (select fold from first_best) as is_best from first_folds""")
+twin("split_stats", f"""
+select split, count(*) as n_rows, count(distinct device_model) as n_models, {', '.join(f'count(*) filter (target = {c - 1}) as n_{c}' for c in range(3))}
+from split_rows group by 1""")
+twin("split_distribution", """
+select s.s as split, c.t as target, count(l.device_name) as n_rows,
+  round(cast(count(l.device_name) as double) / nullif((select count(*) from split_rows where split = s.s), 0), 3) as share
+from (values ('train'), ('val'), ('test')) s(s) cross join (values (-1), (0), (1)) c(t)
+left join split_rows l on l.split = s.s and l.target = c.t group by 1, 2""")
+_MODE = "(select {0} from train_rows where {0} is not null group by {0} order by count(*) desc, {0} limit 1)"
+_MEDIAN = "(select quantile_cont(try_cast({0} as double), 0.5) from train_rows)"
+_TEXTS = [c for c in FEATURES if c not in _NUMBERS]
 twin("ml_impute", "select * from (" + " union all ".join(
-    f"""select '{c}' as "column", (select {c} from learn where {c} is not null group by {c} order by count(*) desc, {c} limit 1) as text_value,
-    cast(null as double) as number_value""" for c in FEATURES if c not in _NUMBERS)
-    + " union all " + " union all ".join(
-    f"select '{c}', cast(null as varchar), quantile_cont(try_cast({c} as double), 0.5) from learn" for c in _NUMBERS)
+    f"""select '{c}' as "column", {_MODE.format(c)} as text_value, cast(null as double) as number_value""" for c in _TEXTS)
+    + " union all " + " union all ".join(f"select '{c}', cast(null as varchar), {_MEDIAN.format(c)}" for c in _NUMBERS)
     + ") where text_value is not null or number_value is not null")
+# Slots: numbers first, then the values of each text column that is not mostly missing, in order.
+STEPS["rates"] = rates_twin("select * from train_rows")
+STEPS["numeric_slots"] = "select name, row_number() over (order by p) - 1 as slot from (" + " union all ".join(
+    f"select '{c}' as name, {p} as p where (select rate from rates where name = '{c}') <= 0.5" for p, c in enumerate(FEATURES) if c in _NUMBERS) + ")"
+STEPS["dictionary"] = """
+select name, value, row_number() over (order by p, value) - 1 + (select count(*) from numeric_slots) as slot from (""" + " union all ".join(
+    f"select distinct '{c}' as name, {p} as p, {c} as value from train_rows where {c} is not null and (select rate from rates where name = '{c}') <= 0.5"
+    for p, c in enumerate(FEATURES) if c not in _NUMBERS) + ")"
+twin("ml_dictionary", 'select name as "column", value, slot from dictionary')
+STEPS["slots_used"] = " union all ".join(
+    [f"select device_name, slot from split_rows join dictionary d on d.name = '{c}' and d.value = coalesce({c}, {_MODE.format(c)})" for c in _TEXTS]
+    + [f"select device_name, slot from split_rows join numeric_slots d on d.name = '{c}' where coalesce(try_cast({c} as double), {_MEDIAN.format(c)}) <> 0" for c in _NUMBERS])
+twin("ml_features", """
+select device_name, target, split, cast((select count(*) from numeric_slots) + (select count(*) from dictionary) as int) as n_slots,
+  cast(count(slot) as int) as n_active, coalesce(sum(slot), 0)::bigint as slot_sum
+from split_rows left join slots_used using (device_name) group by 1, 2, 3""")
 
 # --- evaluation --------------------------------------------------------------
 
@@ -687,8 +778,8 @@ twin("macro_auc", f"""
 select round(avg(auc), 6) as macro_auc, round(max(auc) filter (class_id = -1), 6) as auc_0,
   round(max(auc) filter (class_id = 0), 6) as auc_1, round(max(auc) filter (class_id = 1), 6) as auc_2 from ({_AUC})""")
 twin("roc_curves", "select class_id, round(fpr, 6) as fpr, round(tpr, 6) as tpr from corners")
-twin("roc_points", """
-select round(fpr, 6) as fpr, round(avg(coalesce(high, before_high + (after_low - before_high) / (after_x - before_x) * (fpr - before_x))), 6) as macro_tpr
+_MACRO = """
+select fpr, avg(coalesce(high, before_high + (after_low - before_high) / (after_x - before_x) * (fpr - before_x))) as macro_tpr
 from (
   select g.fpr, c.class_id, s.high,
     last_value(case when s.high is not null then g.fpr end ignore nulls) over w_before as before_x,
@@ -699,8 +790,22 @@ from (
   left join steps_at s on s.fpr = g.fpr and s.class_id = c.class_id
   window w_before as (partition by c.class_id order by g.fpr rows between unbounded preceding and 1 preceding),
     w_after as (partition by c.class_id order by g.fpr rows between 1 following and unbounded following))
-group by fpr""")
-_HOT = "list_transform(range(0, 10), lambda i: cast(cast(i = label as int) as double))"
+group by fpr"""
+twin("roc_points", f"select round(fpr, 6) as fpr, round(macro_tpr, 6) as macro_tpr from ({_MACRO})")
+twin("model_evaluation", f"""
+select 'confusion' as part, actual || '/' || predicted as name, cast(n as double) as value from confusion
+union all select 'report', name || '/' || m, round(v, 6) from (
+  unpivot (select cast(class_id as varchar) as name, p as precision, r as recall, f as f1, cast(support as double) as support from per_score
+    union all select 'accuracy', a, a, a, n from (select cast(sum(tp) as double) / cast(sum(support) as double) as a, cast(sum(support) as double) as n from per_score)
+    union all select 'macro avg', avg(p), avg(r), avg(f), cast(sum(support) as double) from per_score
+    union all select 'weighted avg', sum(p * support) / cast(sum(support) as double), sum(r * support) / cast(sum(support) as double),
+      sum(f * support) / cast(sum(support) as double), cast(sum(support) as double) from per_score)
+  on precision, recall, f1, support into name m value v)
+union all select 'auc', 'auc_' || (class_id + 1), round(auc, 6) from ({_AUC})
+union all select 'auc', 'macro_auc', round(avg(auc), 6) from ({_AUC})
+union all select 'roc_corners', cast(class_id as varchar), cast(count(*) as double) from corners group by 2
+union all select 'macro_roc', 'mean_tpr', round(avg(macro_tpr), 6) from ({_MACRO})""")
+_HOT = "list_transform(range(0, 64), lambda i: cast(cast(i = label as int) as double))"
 twin("eval_loss", f"""
 select loss, round(avg(v), 6) as value, count(v) as n_rows from (
   select 'cross_entropy_loss' as loss, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) - x[label + 1] as v from logits
@@ -712,4 +817,4 @@ group by 1""")
 twin("softmax_scores", """
 select vec_id, (i - 1)::int as class_id, round(exp(x[i] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) as softmax,
   round(1 / (1 + exp(-x[i])), 6) as sigmoid
-from logits cross join (select unnest(range(1, 11)) as i)""")
+from logits cross join (select unnest(range(1, 65)) as i)""")

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,12 +15,16 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetspan-tests-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from fleetspan.operators.sizing import release_tables
+
+    release_tables(session)
     session.stop()
 
 

@@ -82,6 +82,10 @@ def test_requested_locations(spark):
     out = {r.loc_state: r for r in clusters.location_summary(devices(spark, FLEET), wanted, DAY).collect()}
     assert out["GA"].found and out["GA"].total_devices == 3
     assert not out["ZZ"].found and out["ZZ"].total_devices == 0 and out["ZZ"].device_count is None
+    twice = devices(spark, [*FLEET, ("a", "Y", "GA", "ABC", "Site", -10)])
+    with pytest.raises(Exception, match="GA-ABC"):
+        clusters.location_summary(twice, wanted, DAY).collect()
+    assert clusters.location_summary(twice, wanted, DAY, strict=False).where("found").first().device_count == 3
     with pytest.raises(ValueError):
         clusters.requested_locations(spark, [("GEO", "ABC")])
     with pytest.raises(ValueError):

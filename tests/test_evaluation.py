@@ -116,3 +116,16 @@ def test_decisions_and_losses(spark):
     soft = df.select(scores.softmax("x"), scores.sigmoid("x")).collect()
     assert soft[0][0] == pytest.approx([1.0, 0.0, 0.0]) and sum(soft[1][0]) == pytest.approx(1.0)
     assert soft[1][1] == pytest.approx(list(1 / (1 + np.exp(-x[1]))))
+
+
+def test_one_count_gives_the_whole_evaluation(spark):
+    rows, df = sample(spark, 250, 6)
+    rng = np.random.default_rng(2)
+    tested = spark.createDataFrame([(*r, int(rng.choice(CLASSES))) for r in rows], "actual int, a double, b double, c double, predicted int")
+    found = evaluation.evaluate(tested, "actual", "predicted", SCORES)
+    same = lambda x, y: sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
+    assert same(found["report"], evaluation.classification_report(tested))
+    assert same(found["confusion"], evaluation.confusion_matrix(tested))
+    assert same(found["auc"], evaluation.macro_auc(tested, "actual", SCORES))
+    assert same(found["roc"].drop("score"), evaluation.roc_curves(tested, "actual", SCORES).select("class_id", "fpr", "tpr"))
+    assert same(found["macro_roc"], evaluation.macro_roc(tested, "actual", SCORES))

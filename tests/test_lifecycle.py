@@ -46,3 +46,23 @@ def test_horizon():
     assert check_horizon(0) == 0
     with pytest.raises(ValueError):
         check_horizon(-1)
+
+
+def test_sums_of_amounts_do_not_depend_on_the_order(spark):
+    """Cents whose sums of doubles differ with the layout; ranks must not."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fleetspan.functions.lifecycle import exact, mean, total
+
+    rng = random.Random(1)
+    cents = [rng.randint(1, 10**9) for _ in range(3000)]
+    found = set()
+    for parts in (1, 3, 11):
+        rng.shuffle(cents)
+        df = spark.createDataFrame([(c / 100,) for c in cents], "v double").repartition(parts)
+        df = df.select(exact("v").alias("m_near_term"), F.lit(1).cast("bigint").alias("m_devices"))
+        row = df.agg(total("near_term", "t"), mean("near_term", "m")).first()
+        found.add((row.t, row.m))
+    assert found == {(sum(cents) / 100, sum(cents) / 100 / len(cents))}

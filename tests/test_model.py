@@ -64,6 +64,46 @@ def test_folds(devices):
     assert [r.fold for r in best if r.is_best] == [min(sums, key=lambda f: (score(sums[f]), f))]
 
 
+@pytest.mark.parametrize("heavy", [0, 5, 64])
+def test_folds_are_even_up_to_the_largest_group(spark, heavy):
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 6) for _ in range(300)] + [rng.randint(20, 90) for _ in range(heavy)]
+    rows = []
+    for k, n in enumerate(sizes):
+        mix = [0, 0, 0]
+        for _ in range(n):
+            mix[rng.choice([0, 0, 1, 2]) if k % 4 else k % 3] += 1
+        rows.append((f"g{k}", n, *mix))
+    groups = spark.createDataFrame(rows, "model_group string, n_rows bigint, n_0 bigint, n_1 bigint, n_2 bigint")
+    dealt = model.deal_folds(groups, 5, 42, heavy)
+    assert sorted(r.model_group for r in dealt.collect()) == sorted(r[0] for r in rows)
+    held = [r.n for r in dealt.groupBy("fold").agg(F.sum("n_rows").alias("n")).collect()]
+    largest = max(sizes)
+    assert len(held) == 5 and max(held) - min(held) <= (3 if heavy == 0 else 2) * largest
+
+
+def test_fit_rows_bounds_the_fit(devices):
+    split = model.split_rows(model.training_rows(devices, DAY))
+    encoder, _, counts = model.fit_preparation(split, model.feature_columns(devices))
+    train = encoder.transform(split.where("split = 'train'"), "device_name")
+    small = model.fit(train, counts, model.TrainingOptions(trees=2, max_depth=3, fit_rows=200))
+    assert small.getNumTrees == 2 and small.numFeatures == encoder.width
+
+
+def test_split_distribution(devices):
+    split = model.split_rows(model.training_rows(devices, DAY))
+    rows = model.class_distribution(split, by_split=True).collect()
+    assert [(r.split, r.target) for r in rows] == [(s, c) for s in ("train", "val", "test") for c in (-1, 0, 1)]
+    assert sum(r.n_rows for r in rows) == split.count()
+    assert all(abs(sum(r.share for r in rows if r.split == s) - 1) < 0.002 for s in ("train", "val", "test"))
+
+
+def test_preview_counts_all_located_devices(devices):
+    rates = {r["column"]: r.missing_rate for r in model.missing_preview(devices, 30).collect()}
+    located = devices.where("loc_state is not null")
+    assert rates["free_ports"] == pytest.approx(located.where("free_ports is null").count() / located.count())
+
+
 def test_split_keeps_groups_together(devices):
     rows = model.training_rows(devices, DAY)
     split = model.split_rows(rows)
@@ -81,7 +121,7 @@ def test_fill_values(spark):
 
 
 def test_train_tune_score(spark, devices, tmp_path):
-    options = model.TrainingOptions(trees=5, max_depth=5, one_hot_limit=10, hash_size=64)
+    options = model.TrainingOptions(trees=5, max_depth=5)
     fitted, split = model.train_lifecycle_model(devices, DAY, options)
     assert "device_role" not in fitted.features and "free_ports" in fitted.features
     out = model.score_unknown(fitted, devices)
@@ -97,6 +137,11 @@ def test_train_tune_score(spark, devices, tmp_path):
     again = model.load_model(spark, str(tmp_path / "m"))
     assert again.weights == fitted.weights and again.features == fitted.features
 
+    parts = model.evaluate_model(fitted, split)
+    assert parts["report"].where("name = 'accuracy'").first().f1 == pytest.approx(report["accuracy"].f1)
+    assert parts["confusion"].agg(F.sum("value")).first()[0] == split.filter("split = 'test'").count()
+    assert 0.5 < parts["auc"].first().macro_auc <= 1.0 and parts["macro_roc"].count() >= 2
+
     def rows(df):
         return sorted(map(repr, df.collect()))
 

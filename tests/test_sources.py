@@ -42,6 +42,56 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path, fmt):
     assert got == list(range(sum(sizes)))
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet", "orc"])
+def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path, fmt):
+    """The split size changes between planning and running, and between two readings."""
+    df = spark.range(0, 4000, 1, 1).select(F.col("id").cast("string").alias("n"), F.lit("x" * 40).alias("pad"))
+    options = {"parquet.block.size": "8192"} if fmt == "parquet" else {}
+    df.coalesce(1).write.options(header=True, **options).format(fmt).save(str(tmp_path / "t"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    found = []
+    try:
+        for planned, run in (("16384", "30000"), ("70000", "9000")):
+            spark.conf.set(name, planned)
+            numbered = number_rows(spark.read.option("header", True).format(fmt).load(str(tmp_path / "t")))
+            spark.conf.set(name, run)
+            found.append([(int(r["n"]), r[ROW_INDEX]) for r in numbered.orderBy(ROW_INDEX).collect()])
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] == [(k, k) for k in range(4000)]
+
+
+def test_an_empty_tab_has_no_numbers(spark, tmp_path):
+    for fmt in ("csv", "parquet"):
+        spark.range(0).select(F.col("id").cast("string").alias("n")).write.option("header", True).format(fmt).save(str(tmp_path / fmt))
+        assert number_rows(spark.read.schema("n string").option("header", True).format(fmt).load(str(tmp_path / fmt))).count() == 0
+
+
+def test_an_aborted_write_is_no_dataset(spark, tabs_from, tmp_path):
+    tabs = tabs_from(NA=[{"host_name": "GAABC-1", "device_model": "m"}])
+    path = tmp_path / "devices"
+    write_devices(normalize_devices(devices_from_tabs(tabs)), str(path))
+    (path / "_SUCCESS").unlink()  # as a job leaves it that ends early
+    with pytest.raises(FileNotFoundError, match="finished"):
+        load_devices(spark, str(path))
+    assert load_devices(spark, str(path), tabs).count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["devices"]
+
+
+def test_a_failed_write_leaves_the_dataset(spark, tabs_from, tmp_path):
+    path = str(tmp_path / "devices")
+    devices = normalize_devices(devices_from_tabs(tabs_from(NA=[{"host_name": "GAABC-1", "device_model": "m"}])))
+    write_devices(devices, path)
+    broken = devices.withColumn("device_name", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        write_devices(broken, path)
+    assert load_devices(spark, path).count() == 1
+    # A dataset may be written from itself.
+    write_devices(load_devices(spark, path).withColumn("uptime", F.lit("7")), path)
+    assert load_devices(spark, path).first()["uptime"] == "7"
+
+
 def test_timestamps_of_dates_survive(spark):
     df = spark.createDataFrame([(dt.datetime(2025, 1, 2), "m"), (dt.datetime(2025, 1, 2, 3), "n"), (None, "o")], "eol timestamp, model string")
     texts = [r["eol"] for r in conform("ModelData", df).orderBy("model").collect()]
