@@ -146,6 +146,34 @@ def test_mixing_keeps_columns_and_awkward_rows(awkward, docs_from):
     assert mixed_sample(docs_from([]), TARGETS).count() == 0
 
 
+def test_mixing_is_one_scan_without_windows(sample):
+    """The plan of the decisions reads what one scan has written; raking is no chain of windows."""
+    plan = mixing_decisions(sample, TARGETS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 0
+    assert plan.count("Window") + plan.count("Sort ") <= 3
+
+
+def test_rows_without_a_key_are_drawn_by_themselves(docs_from):
+    kept = mixed_sample(docs_from([(None, f"text {k} " * (k % 5 + 1), "en", "a" if k % 4 else "b") for k in range(400)]), TARGETS).count()
+    assert 0 < kept < 400
+
+
+def test_targets_out_of_reach_leave_a_residual(docs_from):
+    rows = [(k, "plain words", "en", "a") for k in range(50)] + [(100 + k, "def f", "fr", "b") for k in range(50)]
+    assert cell_rates(docs_from(rows), TARGETS).agg(F.max("mix_residual")).first()[0] > 0.1
+    rows = [(k, t, lang, s) for k, (t, lang, s) in enumerate((t, lang, s) for t in ("plain", "def f") for lang in ("en", "fr") for s in "ab")]
+    assert cell_rates(docs_from(rows), TARGETS).agg(F.max("mix_residual")).first()[0] < 1e-6
+
+
+def test_words_are_counted_without_arrays(docs_from):
+    from fleetspan.llm.mixing import token_weight
+
+    texts = ["", None, " ", "a", " a ", "a\tb\n\n c", "é\x0bß  日本\x0c", "\u00a0 x", "w " * 5000]
+    docs = docs_from(list(enumerate(texts)))
+    got = {r[0]: r[1] for r in docs.select("doc_id", token_weight("text")).collect()}
+    assert got == {k: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for k, t in enumerate(texts)}
+
+
 def test_native_operators_use_no_python(awkward):
     for frame in (exact_duplicates(awkward), mixing_decisions(awkward, TARGETS), mixed_sample(awkward, TARGETS)):
         plan = frame._jdf.queryExecution().toString()

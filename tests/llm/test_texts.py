@@ -134,6 +134,177 @@ def test_disguised_mail_is_found_in_the_source(docs_from, text):
     assert any(text[int(a) : int(b)].startswith(("jane", "jаne")) and text[int(a) : int(b)].endswith(("com", "org")) for _, a, b in mails)
 
 
+def found_kinds(text):
+    from fleetspan.llm.pii import base_spans, disguised_spans
+
+    return {kind: [text[a:b] for a, b in spans] for kind, spans in disguised_spans(text, base_spans(text)).items()}
+
+
+@pytest.mark.parametrize("text,kind,span", [
+    ("call plus four nine three zero one two three four five six seven now", "phone", "plus four nine three zero one two three four five six seven"),
+    ("call +４９ ３０ １２３４５６７８ now", "phone", "+４９ ３０ １２３４５６７８"),
+    ("host one nine two dot one six eight dot one dot seven up", "ip", "one nine two dot one six eight dot one dot seven"),
+    ("host １０.０.０.２５５ up", "ip", "１０.０.０.２５５"),
+    ("card four one one one 1111 1111 one one one one now", "card", "four one one one 1111 1111 one one one one"),
+    ("card 4111\u200b111111111111 now", "card", "4111\u200b111111111111"),
+    ("mail bob [at] example [dot] com now", "email", "bob [at] example [dot] com"),
+    ("mail bob { AT }  example\n( dot )\tcom now", "email", "bob { AT }  example\n( dot )\tcom"),
+    ("mail bob dot lee at mail dot example dot com", "email", "bob dot lee at mail dot example dot com"),
+    ("mail bob＠example.com now", "email", "bob＠example.com"),
+    ("mail bob arroba example punto com", "email", "bob arroba example punto com"),
+])
+def test_every_disguise_is_found_with_its_span(text, kind, span):
+    assert found_kinds(text).get(kind) == [span]
+
+
+@pytest.mark.parametrize("text", [
+    "look at the end. dot your i", "one two three", "he was one of ten at work", "we met at noon", "( at ) [dot]", "a dot a dot a", "..a at", "at dot at dot",
+    "four one one one 1111 1111 one one one two is no card number", "one nine nine nine dot one dot one dot one",
+])
+def test_ordinary_words_are_no_identifiers(text):
+    assert found_kinds(text) == {}
+
+
+@pytest.mark.parametrize("text", [
+    "a dot " * 170_000, "a at b " * 150_000, "x (at) y" + " " * 1_000_000, " " * 1_000_000 + "(dot)", "one " * 250_000, "+1 " * 330_000,
+    "( " * 500_000, "joe at x dot com " * 60_000, "1" * 1_000_000, "a." * 500_000, "a@" * 500_000, "a@b." * 250_000, "1." * 500_000, "[at] " * 200_000,
+], ids=lambda t: t[:9])
+def test_time_is_linear_in_the_text(text):
+    """Twice the text may take three times the time at most; a quadratic step takes four."""
+    import time
+
+    from fleetspan.llm.pii import base_spans, disguised_spans
+
+    def seconds(t):
+        start = time.process_time()
+        disguised_spans(t, base_spans(t))
+        return time.process_time() - start
+
+    half = seconds(text[: len(text) // 2])
+    assert seconds(text) < 3 * half + 0.5
+    assert half < 15
+
+
+@pytest.mark.parametrize("texts", [["axyzb", "éé", "a b", "xyz", "日本b", "bab"]])
+@pytest.mark.parametrize("some_bytes", [(), (0x78, 0x79)])
+def test_unknown_characters_without_byte_pieces(docs_from, texts, some_bytes):
+    pieces = (("u", 0.0), ("▁a", -1.0), ("b", -1.0), ("▁", -2.0), *((f"<0x{b:02X}>", -9.0) for b in some_bytes))
+    plain = Tokenizer(models.Unigram(list(pieces), unk_id=0, byte_fallback=True))
+    plain.pre_tokenizer = pre_tokenizers.Metaspace()
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs_from(list(enumerate(texts))), UnigramVocabulary(pieces)).collect()}
+    assert got == {i: len(plain.encode(t).ids) for i, t in enumerate(texts)}
+
+
+def test_shards_of_another_tokenizer(sample):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    start, wanted = 0, {}
+    for key, text in sorted(texts_of(sample)):
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [END_ID]
+        wanted[key] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in encoded_documents(sample, path, END_ID).collect()} == wanted
+
+
+@pytest.mark.parametrize("words", [5, 10, 30, 50, 120])
+def test_recall_on_fresh_pairs(words):
+    from fleetspan.llm.decontaminate import Items, Walks, edited_pairs, repetitions_for
+
+    settings = Decontamination()
+    rows = np.random.default_rng(words).integers(1, 5000, (20, words)).astype(np.uint64)
+    a, b = edited_pairs(rows, settings, 2500, seed=99)
+    found = np.zeros(len(a), bool)
+    for repetition in range(repetitions_for(rows, settings)):
+        walk = Walks(repetition, words, settings)
+        found |= walk.keys(a) == walk.keys(b)
+    assert found.mean() >= settings.recall - 0.005
+    assert repetitions_for(rows, Decontamination(repetitions=2)) is None
+    exhaustive = Items([(k, [f"w{x}" for x in row]) for k, row in enumerate(rows.tolist())], Decontamination(repetitions=2))
+    text = " ".join(f"w{x}" if x < 1 << 39 else f"new{x}" for x in b[0][:-1].tolist())
+    item = rows.tolist().index(a[0][:-1].tolist())
+    assert [hit[1] for hit in exhaustive.matches([f"before {text} after"])] == [item]
+
+
+def test_short_items_are_found_exactly(spark):
+    docs = spark.createDataFrame([(1, "here is the secret word again"), (2, "no such thing"), (3, "alone")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "secret word"), (8, "alone"), (9, "such other thing")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word) for r in contaminated(docs, bench, Decontamination(min_words=1)).collect()}
+    assert got == {(1, 7, 3), (3, 8, 0)}
+
+
+def test_no_letter_is_no_language(docs_from):
+    labelled = [(i, "the cat and the dog", "en", "s") for i in range(20)]
+    odd = [(100 + k, t, "en", "s") for k, t in enumerate(["½ ²", "Ⅷ", "12", "_-_", "\u0301"])]
+    got = {r.doc_id: r.lang_pred for r in identify_language(docs_from(labelled + odd)).collect()}
+    assert {got[100 + k] for k in range(5)} == {UNKNOWN}
+
+
+def small_model(width=4, languages=3, seed=0):
+    rng = np.random.default_rng(seed)
+    shapes = (("table_f", (3 * width, 256)), ("inner_f", (3 * width, width)), ("table_b", (3 * width, 256)), ("inner_b", (3 * width, width)),
+              ("out_f", (languages, width)), ("out_b", (languages, width)), ("bias", (languages, 1)))
+    return {name: (rng.normal(size=shape) * 0.6).astype(np.float32) for name, shape in shapes}
+
+
+def states_by_hand(table, inner, data):
+    """A gated recurrent unit, byte by byte; the tables of the gates hold halves."""
+    width = inner.shape[1]
+    sigmoid = lambda v: 1 / (1 + np.exp(-2 * v))
+    h, out = np.zeros(width), []
+    for byte in data:
+        x, g = table[:, byte].astype(float), inner.astype(float) @ h
+        z, r = sigmoid(x[:width] + g[:width]), sigmoid(x[width : 2 * width] + g[width : 2 * width])
+        c = np.tanh(x[2 * width :] + r * g[2 * width :])
+        h = c + z * (h - c)
+        out.append(h)
+    return out
+
+
+def test_pooled_probabilities_equal_the_recurrence():
+    from fleetspan.llm.language import MARGIN, WIDTH, pooled
+
+    model = small_model()
+    texts = [b"abc", bytes(range(1, 200)), b"x" * 300, b"hello world " * 25]
+    sums, counts = pooled(model, texts)
+    for text, total, count in zip(texts, sums, counts):
+        wanted, labels = np.zeros(3), np.zeros(3, int)
+        padded = b"\0" * MARGIN + text + b"\0" * (2 * WIDTH + MARGIN)
+        for at in range(0, len(text), WIDTH):
+            window = padded[at : at + WIDTH + 2 * MARGIN]
+            ahead = states_by_hand(model["table_f"], model["inner_f"], window[: MARGIN + WIDTH])[MARGIN:]
+            back = states_by_hand(model["table_b"], model["inner_b"], window[MARGIN:][::-1])[MARGIN:][::-1]
+            for f, b in list(zip(ahead, back))[: len(text) - at]:
+                logits = model["out_f"] @ f + model["out_b"] @ b + model["bias"][:, 0]
+                p = np.exp(logits) / np.exp(logits).sum()
+                wanted += p
+                labels[p.argmax()] += 1
+        assert np.allclose(total, wanted, rtol=1e-3)
+        assert count.sum() == len(text) and np.abs(count - labels).sum() <= 2
+
+
+def test_gradients_equal_differences():
+    from fleetspan.llm.language import _backward, _forward
+
+    model = small_model(seed=3)
+    table, inner = model["table_f"].astype(np.float64), model["inner_f"].astype(np.float64)
+    steps = np.random.default_rng(1).integers(0, 6, (7, 5))
+    weights = np.random.default_rng(2).normal(size=(7, 4, 5))
+    loss = lambda t, i: float((_forward(t, i, steps)[0] * weights).sum())
+    _, seen = _forward(table, inner, steps)
+    d_table, d_inner = _backward(table, inner, steps, seen, weights)
+    half = np.ones(12)
+    half[:8] = 1.0
+    for array, grad, places in ((inner, d_inner, [(0, 0), (5, 2), (9, 3), (11, 1)]), (table, d_table, [(0, 1), (6, 3), (10, 5), (3, 200)])):
+        for place in places:
+            kept, step = array[place], 1e-5
+            array[place] = kept + step
+            above = loss(table, inner)
+            array[place] = kept - step
+            below = loss(table, inner)
+            array[place] = kept
+            assert grad[place] == pytest.approx((above - below) / (2 * step), rel=2e-2, abs=2e-3)
+
+
 def test_language_is_learnt_and_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = identify_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
