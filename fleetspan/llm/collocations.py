@@ -6,10 +6,15 @@ container per next word. Beyond a bound on the entries the largest subtrees are
 spilled whole, each as a sorted run, and the runs of all tasks are merged per prefix
 partition by Spark.
 
-Phrases of k words are counted only where both phrases of k - 1 words inside them
-are frequent: what is rarer cannot become a candidate nor is it asked for by a cut.
-A bitmap of the frequent phrases, bounded in size and without false negatives, tells
-the tasks where; what passes by mistake is removed by the exact counts.
+Only phrases that may be frequent enter the trie. Three passes before it sum the
+occurrences of the hashes of phrases of one, two and three words; the hashes that are
+frequent make a bitmap, bounded in size and without false negatives. A pass looks at
+a phrase only where the shorter ones inside it passed, as what holds a rare phrase is
+rare. What passes by mistake is removed by the exact counts of the trie.
+
+Tasks read texts as arrays of bytes: words are runs between separators, hashed by
+sums over their bytes. In the trie a word is what its bytes are: equal hashes are
+compared byte by byte.
 """
 
 from __future__ import annotations
@@ -22,26 +27,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspan.llm.bitmaps import bitmap_of, passes
+from fleetspan.llm.bitmaps import LEAST_BITS, bitmap_of, passes
 from fleetspan.operators.sizing import join_dimension, settle, written_table
 
 MOST_WORDS = 5
-# Phrase lengths of each pass over the texts; a pass needs the frequent phrases of the one before.
-PASSES = ((1,), (2,), (3,), (4, 5))
+SIFTED = 3  # phrase lengths with a pass and a bitmap of their own
 
 BURST = 4096  # entries of a container
-ENTRIES = 250_000  # of a task's trie, before subtrees are spilled
+ENTRIES = 600_000  # of a task's trie, before subtrees are spilled
 KNOWN_WORDS = 400_000  # word ids of a task, before it starts anew
-CHUNK = 400_000  # words counted at once
+CHUNK = 1 << 20  # bytes read at once; a longer piece is read whole
+HELD = 1_000_000  # hashes a task holds before it passes them on
 OUT_ROWS = 50_000
-SPREAD = 64  # parts of a prefix partition: one prefix may be hot
-PREFIXES = 1024
+PREFIXES = 1024  # prefix partitions
+SPREAD = 64  # parts in which the phrases of a language are ranked first
 
 UNKNOWN_LANG = "und"
-# Fixed values of the contract: these end a piece. They all become one byte; \t becomes a blank.
-PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"." * len(PIECE_ENDS) + b" ")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+# Fixed values of the contract: what separates words, and what also ends a piece.
+BLANKS, PIECE_ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[list(BLANKS)], _KIND[list(PIECE_ENDS)] = 1, 2
+_CUT = bytes.maketrans(PIECE_ENDS, b"." * len(PIECE_ENDS))
+_STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
 class Container(dict):
@@ -108,13 +115,19 @@ class HatTrie:
             yield from self._run(self.root.pop(word), word)
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words of a text in order, with ``b"."`` wherever a piece ends; A-Z are lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().translate(_TABLE).replace(b".", b" . ").split()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, np.uint64(base), dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\x00" + word)
+def _mixed(values: np.ndarray) -> np.ndarray:
+    out = (values ^ (values >> np.uint64(32))) * _STEP
+    return out ^ (out >> np.uint64(29))
 
 
 def phrase_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -127,152 +140,274 @@ def phrase_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= _STEP
         out += hashes[k : k + n]
-    out ^= out >> np.uint64(32)
-    out *= _STEP
-    return out ^ (out >> np.uint64(29))
+    return _mixed(out)
+
+
+class Words:
+    """The words of some texts in order: where they are in ``data``, their hash with the language, language and piece."""
+
+    def __init__(self, parts: list[tuple[int, bytes]], languages: list[str], powers: tuple[np.ndarray, np.ndarray]):
+        self.passed: dict[int, np.ndarray] = {}
+        joined = b"\n".join(p for _, p in parts)
+        self.data = np.frombuffer(joined.lower(), dtype=np.uint8)  # bytes.lower acts on A-Z only
+        kind = _KIND[self.data]
+        inside = np.concatenate([[False], kind == 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.pieces = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
+        begins = np.cumsum([0, *(len(p) + 1 for _, p in parts)])[:-1]
+        owner = np.searchsorted(begins, self.starts, "right") - 1
+        self.lang = np.array([lang for lang, _ in parts], dtype=np.int64)[owner]
+        sums = np.zeros(self.data.size + 1, dtype=np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[0][: self.data.size], out=sums[1:])
+        own = np.array([xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) for name in languages], dtype=np.uint64)
+        self.hashes = _mixed((sums[self.ends] - sums[self.starts]) * powers[1][self.starts] ^ own[self.lang])
+
+    def whole(self, length: int) -> np.ndarray:
+        """At which places a phrase of ``length`` words lies within one piece."""
+        n = max(self.pieces.size - length + 1, 0)
+        return self.pieces[:n] == self.pieces[length - 1 :][:n]
+
+    def open_at(self, length: int, sieves: list[np.ndarray]) -> np.ndarray:
+        """At which places a phrase of ``length`` words may be frequent, going by the bitmaps of the phrases inside it."""
+        out = self.whole(length)
+        inner = min(length, len(sieves))
+        if inner and out.any():
+            fits = self.sifted(inner, sieves)
+            for k in range(length - inner + 1):
+                out &= fits[k : k + out.size]
+        return out
 
+    def sifted(self, length: int, sieves: list[np.ndarray]) -> np.ndarray:
+        """At which places the phrase of ``length`` words passes its own bitmap and those of the phrases inside it."""
+        if length not in self.passed:
+            out = self.open_at(length, sieves[: length - 1])
+            at = np.flatnonzero(out)
+            out[at] = passes(sieves[length - 1], phrase_hashes(self.hashes, length)[at])
+            self.passed[length] = out
+        return self.passed[length]
+
+
+def _parts(text: str) -> Iterator[bytes]:
+    """The text in parts of about a chunk, cut behind the end of a piece; a piece is never cut."""
+    data, at = text.encode("utf-8", "surrogatepass"), 0
+    if len(data) > CHUNK:
+        ends = data.translate(_CUT)
+        while len(data) - at > CHUNK:
+            cut = ends.rfind(b".", at, at + CHUNK)
+            cut = ends.find(b".", at + CHUNK) if cut < 0 else cut
+            if cut < 0:
+                break
+            yield data[at : cut + 1]
+            at = cut + 1
+    yield data[at:]
 
-class _Words:
-    """Ids of the words a task has met, per language; id 0 ends a piece and stands for words that are not frequent."""
 
-    def __init__(self, bits: np.ndarray | None):
-        self.bits = bits
-        self.tables: dict[str, dict[bytes, int]] = {}
-        self.names: list[tuple[str, bytes]] = [("", b"")]
-        self.hashes: list[int] = [0]
+def _chunks(batches: Iterator[pd.DataFrame], languages: list[str]) -> Iterator[Words]:
+    """The texts of a task in chunks of words; ``languages`` gets the languages met."""
+    known: dict[str, int] = {}
+    parts: list[tuple[int, bytes]] = []
+    size, powers = 0, _powers(CHUNK)
 
-    def ids(self, lang: str, words: list[bytes]) -> list[int]:
-        table = self.tables.setdefault(lang, {b".": 0})
-        fresh = list(set(words).difference(table))
-        if fresh:
-            hashes = [word_hash(lang, word) for word in fresh]
-            wanted = np.ones(len(fresh), dtype=bool)
-            if self.bits is not None:
-                wanted = passes(self.bits, phrase_hashes(np.array(hashes, dtype=np.uint64), 1))
-            for word, h, good in zip(fresh, hashes, wanted.tolist()):
-                table[word] = len(self.names) if good else 0
-                if good:
-                    self.names.append((lang, word))
-                    self.hashes.append(h)
-        return list(map(table.__getitem__, words))
+    def words() -> Words:
+        nonlocal powers
+        if size > powers[0].size:
+            powers = _powers(size)
+        return Words(parts, languages, powers)
 
-    def known(self) -> int:
-        return sum(map(len, self.tables.values()))
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            if lang not in known:
+                known[lang] = len(languages)
+                languages.append(lang)
+            for part in _parts(text):
+                if parts and size + len(part) + 1 > CHUNK:
+                    yield words()
+                    parts, size = [], 0
+                parts.append((known[lang], part))
+                size += len(part) + 1
+    if parts:
+        yield words()
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if keys.size else np.zeros(0, dtype=np.int64)
+    return keys[first], (np.add.reduceat(counts, first) if first.size else counts)
+
+
+def _hash_runs(batches: Iterator[pd.DataFrame], length: int, sieves: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(hash, n): occurrences in a task of the hashes of phrases of ``length`` words that may be frequent."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
-    def phrase(self, key: bytes) -> tuple[str, str]:
-        ids = np.frombuffer(key, dtype=">u4")
-        lang = self.names[ids[0]][0]
-        return lang, b" ".join([self.names[i][1] for i in ids]).decode("utf-8", "surrogatepass")
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"hash": held[0][0].view(np.int64), "n": held[0][1].astype(np.int64)})
+
+    for words in _chunks(batches, []):
+        found = phrase_hashes(words.hashes, length)[words.open_at(length, sieves)]
+        held.append(np.unique(found, return_counts=True))
+        size += held[-1][0].size
+        if size > HELD:
+            held = [_summed(held)]
+            size = held[0][0].size
+            if size > HELD // 2:
+                yield frame()
+                held, size = [], 0
+    if held:
+        held = [_summed(held)]
+        yield frame()
+
+
+class _Ids:
+    """Ids of the words a task has met; id 0 is a word that is not frequent."""
+
+    def __init__(self):
+        self.by_hash: dict[int, int] = {}
+        self.by_name: dict[tuple[int, bytes], int] | None = None  # made when two words have one hash
+        self.names: list[tuple[int, bytes]] = [(0, b"")]
+
+    def _id(self, name: tuple[int, bytes]) -> int:
+        if self.by_name is not None and name in self.by_name:
+            return self.by_name[name]
+        self.names.append(name)
+        if self.by_name is not None:
+            self.by_name[name] = len(self.names) - 1
+        return len(self.names) - 1
+
+    def of(self, words: Words, good: np.ndarray) -> np.ndarray:
+        """An id per word, the same for the same bytes and language: by hash, then compared."""
+        out = np.zeros(words.hashes.size, dtype=np.uint32)
+        at = np.flatnonzero(good)
+        if not at.size:
+            return out
+        hashes, first, which = np.unique(words.hashes[at], return_index=True, return_inverse=True)
+        found = np.zeros(hashes.size, dtype=np.uint32)
+        for k, (h, place) in enumerate(zip(hashes.tolist(), at[first].tolist())):
+            known = self.by_hash.get(h)
+            if known is None:
+                name = (int(words.lang[place]), words.data[words.starts[place] : words.ends[place]].tobytes())
+                known = self.by_hash[h] = self._id(name)
+            found[k] = known
+        out[at] = found[which]
+        if not self._same(words, at, found, which):  # two words with one hash
+            if self.by_name is None:
+                self.by_name = {name: k for k, name in enumerate(self.names) if k}
+            names = zip(words.lang[at].tolist(), words.starts[at].tolist(), words.ends[at].tolist())
+            out[at] = [self._id((lang, words.data[a:b].tobytes())) for lang, a, b in names]
+        return out
+
+    def _same(self, words: Words, at: np.ndarray, found: np.ndarray, which: np.ndarray) -> bool:
+        """Are all words byte for byte what the names of their ids are?"""
+        names = [self.names[k] for k in found.tolist()]
+        sizes = np.array([len(name) for _, name in names], dtype=np.int64)
+        lengths = words.ends[at] - words.starts[at]
+        if (sizes[which] != lengths).any() or (np.array([lang for lang, _ in names])[which] != words.lang[at]).any():
+            return False
+        text = np.frombuffer(b"".join(name for _, name in names), dtype=np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return bool((words.data[np.repeat(words.starts[at], lengths) + inside] == text[np.repeat(begins[which], lengths) + inside]).all())
+
+    def phrase(self, key: bytes, languages: list[str]) -> tuple[str, str]:
+        ids = np.frombuffer(key, dtype=">u4").tolist()
+        return languages[self.names[ids[0]][0]], b" ".join([self.names[i][1] for i in ids]).decode("utf-8", "surrogatepass")
 
 
 def _distinct(ids: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct phrases at the given places, as rows of ids, and their counts; exact by ranking pairs again and again."""
-    first = places
     rank = ids[places].astype(np.uint64)
+    _, first, counts = np.unique(rank, return_index=True, return_counts=True)
     for k in range(1, length):
         pair = (rank << np.uint64(32)) | ids[places + k]
-        kept, at, inverse, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        _, first, inverse, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
         rank = inverse.astype(np.uint64)
-        first = places[at]
-    if length == 1:
-        _, at, counts = np.unique(rank, return_index=True, return_counts=True)
-        first = places[at]
-    return np.stack([ids[first + k] for k in range(length)], axis=1), counts
-
-
-def _count_chunk(trie: HatTrie, ids: np.ndarray, hashes: np.ndarray, lengths: tuple[int, ...], bits: np.ndarray | None) -> None:
-    """Add the phrases of a chunk of ids; those longer than two words only where all shorter ones of the last pass may be frequent."""
-    lower = lengths[0] - 1
-    good = ids != 0
-    if lower >= 1:
-        inside = good[: max(ids.size - lower + 1, 0)].copy()
-        for k in range(1, lower):
-            inside &= good[k : k + inside.size]
-        if lower >= 2:
-            at = np.flatnonzero(inside)
-            found = phrase_hashes(hashes[ids], lower)[at]
-            inside[at] = passes(bits, found)
-    else:
-        inside = good
-    for length in lengths:
-        n = ids.size - length + 1
-        if n <= 0:
-            continue
-        fits = np.ones(n, dtype=bool)
-        for k in range(length - max(lower, 1) + 1):
-            fits &= inside[k : k + n]
-        places = np.flatnonzero(fits)
-        if places.size:
-            rows, counts = _distinct(ids, places, length)
-            packed = rows.astype(">u4").tobytes()
-            width = 4 * length
-            for i, count in enumerate(counts.tolist()):
-                trie.add(packed[i * width : i * width + width], count)
+    return np.stack([ids[places[first] + k] for k in range(length)], axis=1), counts
 
 
-def _runs(batches: Iterator[pd.DataFrame], lengths: tuple[int, ...], bits: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Spilled runs (lang, phrase, n) of a task; the first pass adds the number of all words of a language under the empty phrase."""
-    words, trie, rows, chunk, totals = _Words(bits if lengths[0] == 2 else None), HatTrie(), [], [], {}
+def prefix_of(lang: str, phrase: str) -> int:
+    """The prefix partition of a phrase: by its first two words, so that one frequent word is dealt out too."""
+    head = " ".join(phrase.split(" ", 2)[:2])
+    return xxhash.xxh64_intdigest(f"{lang} {head}".encode("utf-8", "surrogatepass")) % PREFIXES
 
-    def frame() -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["lang", "phrase", "n"])
-        rows.clear()
-        return out
 
-    def emit(keep: int) -> Iterator[pd.DataFrame]:
-        for key, count in trie.spill(keep):
-            rows.append((*words.phrase(key), count))
-            if len(rows) >= OUT_ROWS:
-                yield frame()
+def _runs(batches: Iterator[pd.DataFrame], sieves: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Spilled runs of a task, one row per prefix partition and language: prefix, lang, phrases and their counts.
 
-    def count() -> None:
-        _count_chunk(trie, np.array(chunk, dtype=np.uint32), np.array(words.hashes, dtype=np.uint64), lengths, bits)
-        chunk.clear()
+    The number of all words of a language comes under the empty phrase.
+    """
+    languages: list[str] = []
+    ids, trie = _Ids(), HatTrie()
+    totals = np.zeros(0, dtype=np.int64)
 
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
-            found = split_words(text)
-            chunk += words.ids(lang, found)
-            chunk.append(0)
-            if lengths[0] == 1:
-                totals[lang] = totals.get(lang, 0) + len(found) - found.count(b".")
-            if len(chunk) >= CHUNK:
-                count()
-                if words.known() > KNOWN_WORDS:
-                    yield from emit(0)
-                    words = _Words(words.bits)
-                elif trie.entries > ENTRIES:
-                    yield from emit(ENTRIES // 2)
-    count()
+    def frame(runs: dict[tuple[int, str], tuple[list[str], list[int]]]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *run) for key, run in runs.items()], columns=["prefix", "lang", "phrases", "counts"])
+
+    def emit(keep: int) -> Iterator[pd.DataFrame]:
+        runs: dict[tuple[int, str], tuple[list[str], list[int]]] = {}
+        head, at, size = None, (0, ""), 0
+        for key, count in trie.spill(keep):
+            lang, phrase = ids.phrase(key, languages)
+            if key[:8] != head:  # keys of a run that begin with the same two words follow each other
+                head = key[:8]
+                at = (prefix_of(lang, phrase), lang)
+            phrases, counts = runs.setdefault(at, ([], []))
+            phrases.append(phrase)
+            counts.append(count)
+            size += 1
+            if size >= OUT_ROWS:
+                yield frame(runs)
+                runs, size = {}, 0
+        yield frame(runs)
+
+    for words in _chunks(batches, languages):
+        seen = np.bincount(words.lang, minlength=len(languages))
+        seen[: totals.size] += totals
+        totals = seen
+        number = ids.of(words, words.sifted(1, sieves))
+        for length in range(1, MOST_WORDS + 1):
+            fits = words.sifted(length, sieves) if length <= SIFTED else words.open_at(length, sieves)
+            places = np.flatnonzero(fits)
+            if not places.size:
+                break
+            phrases, counts = _distinct(number, places, length)
+            packed, width = phrases.astype(">u4").tobytes(), 4 * length
+            for i, count in enumerate(counts.tolist()):
+                trie.add(packed[i * width : i * width + width], count)
+        if len(ids.names) > KNOWN_WORDS:
+            yield from emit(0)
+            ids = _Ids()
+        elif trie.entries > ENTRIES:
+            yield from emit(ENTRIES // 2)
     yield from emit(0)
-    rows.extend((lang, "", n) for lang, n in totals.items())
-    yield frame()
+    yield frame({(0, name): ([""], [n]) for name, n in zip(languages, totals.tolist())})
 
 
-def _count_pass(texts: DataFrame, lengths: tuple[int, ...], bits: bytes | None) -> DataFrame:
-    """(lang, phrase, n): exact counts of the phrases of a pass."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+def _sieve(texts: DataFrame, length: int, sieves: list[bytes], at_least: int) -> bytes | None:
+    """Bitmap of the hashes of phrases of ``length`` words that occur often enough; None where there are none."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieves)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _runs(batches, lengths, None if shared.value is None else np.frombuffer(shared.value, dtype=np.uint8))
+        yield from _hash_runs(batches, length, [np.frombuffer(b, dtype=np.uint8) for b in shared.value])
+
+    summed = texts.mapInPandas(task, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    frequent = written_table(summed.where(F.col("n") >= at_least).select("hash"))
+    n = frequent.count()
+    return bitmap_of(frequent, "hash", n) if n else None
 
-    runs = texts.mapInPandas(task, "lang string, phrase string, n long")
-    head = F.substring_index("phrase", " ", 2)
-    prefix = F.pmod(F.xxhash64("lang", head), F.lit(PREFIXES)) * SPREAD + F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))
-    dealt = runs.withColumn("prefix", prefix.cast("int")).repartition("prefix")
-    return dealt.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
+def _counted(texts: DataFrame, sieves: list[bytes]) -> DataFrame:
+    """(lang, phrase, n): exact counts of all phrases that pass, the runs merged by prefix partition."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieves)
 
-def _hash_column() -> Column:
-    @F.pandas_udf("long")
-    def hashed(lang: pd.Series, phrase: pd.Series) -> pd.Series:
-        out = np.zeros(len(phrase), dtype=np.uint64)
-        for i, (name, text) in enumerate(zip(lang, phrase)):
-            words = np.array([word_hash(name, w.encode("utf-8", "surrogatepass")) for w in text.split(" ")], dtype=np.uint64)
-            out[i] = phrase_hashes(words, words.size)[0]
-        return pd.Series(out.view(np.int64))
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _runs(batches, [np.frombuffer(b, dtype=np.uint8) for b in shared.value])
 
-    return hashed("lang", "phrase")
+    runs = texts.mapInPandas(task, "prefix int, lang string, phrases array<string>, counts array<bigint>").repartition("prefix")
+    merged = runs.select("prefix", "lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("n"))))
+    return merged.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
 
 def frequent_phrases(docs: DataFrame, at_least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -280,21 +415,17 @@ def frequent_phrases(docs: DataFrame, at_least: int, text: str = "text", lang: s
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    out, totals, bits = None, None, None
-    for lengths in PASSES:
-        counted = _count_pass(texts, lengths, bits)
-        counted = written_table(counted.where((F.col("n") >= at_least) | (F.col("phrase") == "")))
-        if totals is None:
-            totals = counted.where("phrase = ''").select("lang", "n")
-            counted = counted.where("phrase <> ''")
-        level = counted.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("words"), F.col("n").alias("f"))
-        out = level if out is None else out.unionAll(level)
-        if lengths != PASSES[-1]:
-            n = level.count()
-            if n == 0:
-                break  # nothing longer can be frequent
-            bits = bitmap_of(level.select(_hash_column().alias("key")), "key", n)
-    return out, totals
+    sieves: list[bytes] = []
+    for length in range(1, SIFTED + 1):
+        found = _sieve(texts, length, sieves, at_least)
+        # An empty bitmap lets nothing through: nothing longer can be frequent.
+        sieves.append(found or bytes((1 << LEAST_BITS) // 8))
+        if found is None:
+            sieves += [sieves[-1]] * (SIFTED - length)
+            break
+    counted = written_table(_counted(texts, sieves).where((F.col("n") >= at_least) | (F.col("phrase") == "")))
+    found = counted.where("phrase <> ''").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), F.col("n").alias("f"))
+    return found, counted.where("phrase = ''").select("lang", "n")
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
