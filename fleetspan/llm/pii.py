@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,9 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Patterns of plain identifiers.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")  # from the first of the digits only: the others would be read again and again
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -61,14 +61,12 @@ _JOINT = rf"(?:[\s,/-]{{1,3}}|[\s,]*(?:{_ANY(DOT_WORDS)}|[.])[\s,]*)"
 SPELLED_RUN = re.compile(rf"(?:(?<!\w)(?:{_ANY(PLUS_WORDS)})\s+|\+\s*)?(?:{_DIGIT}|[0-9])(?:{_JOINT}(?:{_DIGIT}|[0-9])){{3,}}", re.I)
 SPELLED_PART = re.compile(rf"(?P<digit>{_DIGIT})|(?P<plain>[0-9])|(?P<plus>{_ANY(PLUS_WORDS)}|\+)|(?P<dot>{_ANY(DOT_WORDS)}|\.)|.", re.I | re.S)
 SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_ANY(DIGIT_WORDS)})[\s,./-]+(?:{_ANY(DIGIT_WORDS)}|{_ANY(DOT_WORDS)}|[0-9])(?!\w)", re.I)
-# Disguised signs: bracketed ones always, bare words only as part of "name at host dot zone".
-BRACKETED_AT = re.compile(rf"\s*[(\[{{<]\s*(?:{_ANY(AT_WORDS)}|@)\s*[)\]}}>]\s*", re.I)
-BRACKETED_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{_ANY(DOT_WORDS)}|\.)\s*[)\]}}>]\s*", re.I)
+# Disguised signs: bracketed ones always, with the white space around them; bare words only as part of "name at host dot zone".
+BRACKETED = re.compile(rf"[(\[{{<]\s*(?:(?P<at>{_ANY(AT_WORDS)}|@)|(?P<dot>{_ANY(DOT_WORDS)}|\.))\s*[)\]}}>]", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
-BARE_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s(?:{_ANY(DOT_WORDS)})\s)[A-Za-z0-9_%+-]+)*(?P<at>\s(?:{_ANY(AT_WORDS)})\s(?!(?:the|an?|this|that|its|my|your|our)\s)|@)"
-    rf"{_LABEL}(?:(?:\.|\s(?:{_ANY(DOT_WORDS)})\s){_LABEL})+", re.I,
-)
+BARE_AT = re.compile(rf"\s(?:{_ANY(AT_WORDS)})\s(?!(?:the|an?|this|that|its|my|your|our)\s)|@", re.I)
+BARE_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|\s(?:{_ANY(DOT_WORDS)})\s){_LABEL})+", re.I)
+NAME_CHARS = LOCAL_CHARS - {"."}
 BARE_PART = re.compile(rf"(?P<at>\s(?:{_ANY(AT_WORDS)})\s)|(?P<dot>\s(?:{_ANY(DOT_WORDS)})\s)|.", re.I | re.S)
 BRACKET_HINT = re.compile(rf"[(\[{{<]\s*(?:{_ANY(AT_WORDS + DOT_WORDS)}|@|\.)\s*[)\]}}>]", re.I)
 DOT_HINT = re.compile(rf"\s(?:{_ANY(DOT_WORDS)})\s", re.I)
@@ -203,15 +201,67 @@ def plain_digits(at: Rewritten) -> Rewritten:
     return at.replaced(edits)
 
 
+def _dot_before(text: str, end: int, least: int) -> int | None:
+    """Where a sign for a dot that ends at ``end`` starts, if there is one: a dot, or such a word between blanks."""
+    if end > least and text[end - 1] == ".":
+        return end - 1
+    if end > least and text[end - 1].isspace():
+        for word in DOT_WORDS:
+            start = end - 2 - len(word)
+            if start >= least and text[start].isspace() and text[start + 1 : end - 1].lower() == word:
+                return start
+    return None
+
+
+def _local_start(text: str, end: int, least: int) -> int | None:
+    """Where the name before an at sign starts: words joined by dots, as far to the left as they go; None without a name."""
+    found, at = None, end
+    while True:
+        start = at
+        while start > least and text[start - 1] in NAME_CHARS:
+            start -= 1
+        if start == at:
+            return found
+        if start == least or text[start - 1] != ".":  # no name begins behind a dot
+            found = start
+        dot = _dot_before(text, start, least)
+        if dot is None:
+            return found
+        at = dot
+
+
+def bare_addresses(text: str) -> list[Span]:
+    """Addresses with signs as bare words. Each sign for at is tried once, and no part of the text is read again behind a match."""
+    out, free = [], 0
+    for sign in BARE_AT.finditer(text):
+        if sign.start() < free:
+            continue
+        start = _local_start(text, sign.start(), free)
+        domain = BARE_DOMAIN.match(text, sign.end()) if start is not None else None
+        if domain:
+            out.append((start, domain.end()))
+            free = domain.end()
+        else:
+            free = sign.end()
+    return out
+
+
 def plain_signs(at: Rewritten) -> Rewritten:
-    brackets = [(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(at.text)]
-    brackets += [(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(at.text)]
-    at = at.replaced(sorted(brackets))
+    edits, free, text = [], 0, at.text
+    for m in BRACKETED.finditer(text):
+        start, end = m.span()
+        while start > free and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, "@" if m["at"] else "."))
+        free = end
+    at = at.replaced(edits)
     edits = []
-    for address in BARE_ADDRESS.finditer(at.text):
-        for m in BARE_PART.finditer(address[0]):
+    for start, end in bare_addresses(at.text):
+        for m in BARE_PART.finditer(at.text, start, end):
             if m["at"] or m["dot"]:
-                edits.append((address.start() + m.start(), address.start() + m.end(), "@" if m["at"] else "."))
+                edits.append((m.start(), m.end(), "@" if m["at"] else "."))
     return at.replaced(edits)
 
 
@@ -233,11 +283,13 @@ def disguised_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Sp
         return {}
     out = {}
     for kind, find in FINDERS.items():
-        taken = sorted(base[kind])
+        taken = sorted(base[kind])  # they do not overlap
+        starts = [x for x, _ in taken]
         added = []
         for span in find(at.text):
             a, b = at.source(span)
-            if not any(a < y and x < b for x, y in taken):
+            before = bisect_left(starts, b) - 1  # the last that starts before the end
+            if before < 0 or taken[before][1] <= a:
                 added.append((a, b))
         if added:
             out[kind] = added
