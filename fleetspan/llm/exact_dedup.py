@@ -2,13 +2,14 @@
 
 Frequent digests are found by a Misra-Gries style sketch (the frequent-items
 sketch behind ``approx_top_k``), counted exactly, and the verified ones are
-broadcast: their rows are settled where they lie. All other digests are too rare
-to be hot and go through one ordinary shuffle of narrow rows.
+broadcast: their rows are settled where they lie. All other digests go through an
+ordinary shuffle of narrow rows: they are summed up, copies in one task first, and
+joined back, where adaptive execution can split what is still uneven.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.operators.sizing import written_table
@@ -58,11 +59,9 @@ def _settled(rows: DataFrame, tracked: int, heavy_share: float) -> DataFrame:
         .where(F.col("group_size") >= least)
     )
     heavy = rows.join(F.broadcast(winners), "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    rare = rows.join(F.broadcast(winners), "text_sha256", "left_anti").withColumns(
-        {"stays": first.over(same), "group_size": F.count(F.lit(1)).over(same)}
-    )
-    return heavy.unionByName(rare)
+    rare = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
+    groups = rare.groupBy("text_sha256").agg(first.alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    return heavy.unionByName(rare.join(groups, "text_sha256"))
 
 
 def exact_duplicates(
