@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.operators.sizing import written_table
+from fleetspan.operators.sizing import join_dimension, settle, written_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8  # of 64 bits in a block
@@ -91,14 +91,19 @@ def bloom_blocks(listed: DataFrame, url: str, blocks: int) -> DataFrame:
     return listed.groupBy(_block(url, blocks).alias("block")).agg(*masks).select("block", F.array(*[f"w{w}" for w in range(WORDS)]).alias("words"))
 
 
-def may_be_listed(urls: DataFrame, url: str, filter_table: DataFrame, blocks: int) -> DataFrame:
-    """Rows whose URL passes the filter: the table is broadcast, its size is bounded."""
+def mark_maybe(urls: DataFrame, url: str, filter_table: DataFrame, blocks: int) -> DataFrame:
+    """Add ``maybe``: does the URL pass the filter? The table is broadcast, its size is bounded, so the rows stay where they are."""
     hit = F.lit(True)
     for place in _places(url):
         word = F.element_at("words", F.shiftright(place, 6) + 1)
         hit = hit & (word.bitwiseAND(_bit(place)) != 0)
-    joined = urls.withColumn("block", _block(url, blocks)).join(F.broadcast(filter_table), "block")
-    return joined.where(hit).drop("block", "words")
+    joined = urls.withColumn("block", _block(url, blocks)).join(F.broadcast(filter_table), "block", "left")
+    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False)) & F.col(url).isNotNull()).drop("block", "words")
+
+
+def may_be_listed(urls: DataFrame, url: str, filter_table: DataFrame, blocks: int) -> DataFrame:
+    """Rows whose URL passes the filter."""
+    return mark_maybe(urls, url, filter_table, blocks).where("maybe").drop("maybe")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -107,9 +112,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], key: str
     ``listed`` has a column ``canonical``. A rule decides where one fits; otherwise
     a listed URL is blocked and any other allowed. A null URL, or one without ://,
     has an empty host and path, fits no rule, is never listed and so is allowed.
-    Repeated rows give equal rows; an empty list or table is no special case. A hot
-    URL costs no more than others: distinct URLs are looked up. Other columns of
-    ``pages`` play no part.
+    Repeated rows give equal rows; an empty list or table is no special case. Only
+    rows that pass the filter are joined with the list, which is measured; where it is
+    large, adaptive execution splits a hot URL, as it meets a single row. URLs may be of any
+    length. Other columns of ``pages`` play no part.
     """
     address = F.col(url)
     judged = pages.select(
@@ -117,17 +123,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], key: str
         F.when(url_host(address) != "", canonical_url(address)).alias("canonical"),
     )
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    judged = written_table(judged.withColumns({"rule": rule, "ruled": ruled}))
-    entries = written_table(listed.select("canonical").where("canonical is not null").distinct())
-    blocks = min(MAX_BLOCKS, 1 + entries.count() * BITS_PER_URL // (64 * WORDS))
-    table = written_table(bloom_blocks(entries, "canonical", blocks))
-    asked = judged.where("ruled is null and canonical is not null").select("canonical").distinct()
-    passed = may_be_listed(asked, "canonical", table, blocks)
-    true_hits = passed.join(entries, "canonical", "left_semi").withColumn("hit", F.lit(True))
-    settled = judged.join(true_hits, "canonical", "left")
-    is_listed = F.coalesce("hit", F.lit(False))
+    judged = judged.withColumns({"rule": rule, "ruled": ruled})
+    listing = listed.select("canonical").where("canonical is not null").distinct().select(F.col("canonical").alias("entry"))
+    (entries,) = settle(listing)
+    blocks = min(MAX_BLOCKS, 1 + entries.n_rows * BITS_PER_URL // (64 * WORDS))
+    table = written_table(bloom_blocks(entries.table, "entry", blocks))
+    # A ruled URL is not looked up.
+    asked = judged.withColumn("asked", F.when(F.col("ruled").isNull(), F.col("canonical"))).drop("canonical")
+    marked = written_table(mark_maybe(asked, "asked", table, blocks))
+    others = marked.where("not maybe").withColumn("listed", F.lit(False))
+    checked = join_dimension(marked.where("maybe"), entries, [("asked", "entry")], spread_by="page_id")
+    settled = others.unionByName(checked.withColumn("listed", F.col("entry").isNotNull()).drop("entry"))
     return settled.select(
         "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(is_listed, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        is_listed.alias("listed"),
+        F.coalesce("ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed",
     )
