@@ -9,6 +9,7 @@ ids, counts and places of an id without decoding, or whole shards.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetspan.llm.workers import kept
-from fleetspan.operators.sizing import new_folder
+from fleetspan.operators.sizing import join_dimension, new_folder, settle
 
 SHARD_IDS = 1 << 19  # a shard ends with the document that passes this many ids
 PARTITION_BYTES = 24 << 20  # text per task
@@ -30,6 +31,21 @@ RANK_BITS = 512  # ones are counted up to each block of so many bits
 UNUSUAL = re.compile("[^\x00-\u02ff]|[²³¹¼½¾]")
 # Fixed value: the pieces into which the tokenizer cuts usual lower-case text.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w \t\n\x0b\x0c\r\x85\xa0]|_)+")
+# The steps of a tokenizer for which words can be encoded one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 MEMO_WORDS = 800_000
 MEMO_BYTES = 48
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, doc_sizes array<bigint>, wavelet binary"
@@ -205,6 +221,29 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
 
+class PlainEncoder:
+    """Ids of whole texts by the tokenizer itself, whatever its steps are."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+
+    def text(self, text: str | None) -> bytes:
+        return array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
+
+
+def encoder_for(tokenizer_json: str) -> WordEncoder | PlainEncoder:
+    """Word by word for a tokenizer with exactly the steps that ``WordEncoder`` stands for; any other encodes whole texts."""
+    steps = json.loads(tokenizer_json)
+    model = steps["model"]
+    by_word = (
+        steps["normalizer"] == NORMALIZER and steps["pre_tokenizer"] == PRE_TOKENIZER and model.get("type", "BPE") == "BPE"
+        and not model.get("dropout") and all(t["content"].startswith("<|") for t in steps["added_tokens"])
+    )
+    return WordEncoder(tokenizer_json) if by_word else PlainEncoder(tokenizer_json)
+
+
 def write_token_shards(
     docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key: str = "doc_id", text: str = "text",
     shard_ids: int = SHARD_IDS, partition_bytes: int = PARTITION_BYTES,
@@ -212,7 +251,7 @@ def write_token_shards(
     """Encode every whole text, append ``end_id``, write the shards to ``path`` and return them as read back.
 
     Ids are in ascending order of the key, a null key first; rows with the same key
-    are in the order of their texts. Null and empty texts hold the end id only. An
+    are in the order of a hash of their texts, so that one key does not make one range. Null and empty texts hold the end id only. An
     empty table writes a folder without shards. Other columns play no part.
     """
     spark = docs.sparkSession
@@ -229,7 +268,7 @@ def write_token_shards(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder = kept(shared.value, lambda: WordEncoder(shared.value["tokenizer"]))
+        encoder = kept(shared.value, lambda: encoder_for(shared.value["tokenizer"]))
         end = struct.pack("<I", end_id)
         part, shard, written = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
@@ -258,8 +297,10 @@ def write_token_shards(
             yield flush()
 
     (
-        rows.repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.withColumn("spread", F.xxhash64("text"))
+        .repartitionByRange(parts, "doc_id", "spread")
+        .sortWithinPartitions("doc_id", "spread", "text")
+        .select("doc_id", "text")
         .mapInPandas(encode, SHARD_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)
@@ -278,6 +319,12 @@ def part_starts(shards: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
 
 
+def _with_starts(rows: DataFrame, shards: DataFrame, spread_by: str) -> DataFrame:
+    """Add ``part_start``. There is a row per written part; its size is measured before it is broadcast."""
+    starts = part_starts(shards).select(F.col("part").alias("of_part"), "part_start")
+    return join_dimension(rows, settle(starts)[0], [("part", "of_part")], spread_by).drop("of_part")
+
+
 def shard_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the shards."""
 
@@ -296,11 +343,8 @@ def shard_documents(shards: DataFrame) -> DataFrame:
                     }
                 )
 
-    documents = shards.mapInPandas(decode, DOC_SCHEMA)
-    # One row per written part, as many as the tasks that wrote them.
-    return documents.join(F.broadcast(part_starts(shards)), "part").select(
-        "doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    documents = _with_starts(shards.mapInPandas(decode, DOC_SCHEMA), shards, "start_in_part")
+    return documents.select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def find_token(shards: DataFrame, token: int) -> DataFrame:
@@ -314,7 +358,7 @@ def find_token(shards: DataFrame, token: int) -> DataFrame:
                 yield pd.DataFrame({"part": row.part, "place": np.array(places, np.int64)})
 
     found = shards.select("part", "start_in_part", "wavelet").mapInPandas(find, "part int, place long")
-    return found.join(F.broadcast(part_starts(shards)), "part").select((F.col("part_start") + F.col("place")).alias("start"))
+    return _with_starts(found, shards, "place").select((F.col("part_start") + F.col("place")).alias("start"))
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
