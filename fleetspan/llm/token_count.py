@@ -6,7 +6,8 @@ segmentation. Ties follow the unigram model of the ``tokenizers`` library: score
 are added from left to right in double precision, a later candidate replaces an
 earlier one only when strictly better, candidates of one end come with the
 earliest start first, and a character without a piece of its own costs the lowest
-score minus ten and counts one piece per byte.
+score minus ten and counts one piece per byte. A vocabulary without pieces for all
+bytes makes one unknown piece of neighbouring characters instead.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ class UnigramVocabulary:
 
     pieces: tuple[tuple[str, float], ...]
 
+    @property
+    def has_bytes(self) -> bool:
+        """Is there a piece for every byte?"""
+        names = {name for name, _ in self.pieces}
+        return all(f"<0x{b:02X}>" in names for b in range(256))
+
     @property
     def unknown_score(self) -> float:
         return min(score for _, score in self.pieces) - UNKNOWN_PENALTY
@@ -72,6 +79,40 @@ class ViterbiCounter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = vocabulary.unknown_score
+        self.bytes = vocabulary.has_bytes
+        self.names = {name for name, _ in vocabulary.pieces}
+
+    def fused(self, word: str) -> int:
+        """Pieces of one word where some bytes have no piece: neighbours without a piece are one unknown, or its bytes if all have one."""
+        size = len(word)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+        for last, (length, score) in self.automaton.iter(word):
+            ends[last + 1].append((length, score))
+        best: list[float] = [0.0] * (size + 1)
+        back: list[tuple[int, bool]] = [(0, False)] * (size + 1)
+        for end in range(1, size + 1):
+            reached = False
+            for length, score in ends[end]:
+                candidate = best[end - length] + score
+                if not reached or candidate > best[end]:
+                    best[end], back[end], reached = candidate, (length, False), True
+            if all(length != 1 for length, _ in ends[end]):
+                candidate = best[end - 1] + self.unknown
+                if not reached or candidate > best[end]:
+                    best[end], back[end] = candidate, (1, True)
+        count, end = 0, size
+        while end:
+            length, unknown = back[end]
+            start = end - length
+            if unknown:
+                while start and back[start][1]:
+                    start -= 1
+                lost = word[start:end].encode("utf-8", "surrogatepass")
+                count += len(lost) if all(f"<0x{b:02X}>" in self.names for b in lost) else 1
+            else:
+                count += 1
+            end = start
+        return count
 
     def word(self, word: str) -> int:
         """Pieces on the best path through one word."""
@@ -103,7 +144,7 @@ class ViterbiCounter(dict):
         return count[size]
 
     def __missing__(self, word: str) -> int:
-        found = self.word(MARK + word)
+        found = self.word(MARK + word) if self.bytes else self.fused(MARK + word)
         if len(word) <= MEMO_CHARS:
             self[word] = found
         return found
