@@ -9,7 +9,6 @@ over its positions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ HIDDEN = 12
 LANES = 4096  # windows computed side by side
 BYTES_AT_ONCE = 4 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 500  # labels the network is trained for; more are an error in the column
 
 
 @dataclass(frozen=True)
@@ -46,9 +45,11 @@ def held_out(key: str) -> Column:
 def training_sample(docs: DataFrame, training: Training, key: str, text: str, lang: str) -> list[tuple[str, str]]:
     """(language, piece of text): about ``per_language`` pieces of each language, at places given by a hash."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return []
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     share = F.lit(0.0)
     for row in sizes:
         share = F.when(F.col(lang) == row["lang"], F.lit(training.per_language / row["n"])).otherwise(share)
@@ -262,7 +263,7 @@ def language_column(languages: list[str], model: Model, text: str) -> Column:
                     rows[i] = (languages[k], min(1.0, float(total[k] / n)), n, int(count[k]))
 
             for i, text in enumerate(texts):
-                if text and languages and LETTER.search(text):
+                if text and languages and any(map(str.isalpha, text)):
                     work.append(i)
                     held.append(text.encode("utf-8", "replace"))
                     room -= len(held[-1])
