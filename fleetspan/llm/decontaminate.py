@@ -32,6 +32,9 @@ WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+TAG_BITS = 18  # leading bits of a hash by which most others are told apart
+
+
 @dataclass(frozen=True)
 class Decontamination:
     similarity: float = 0.8  # 1 - edits / words of the item
@@ -186,17 +189,26 @@ class Items:
         self.parts = {}
         for length, found in parts.items():
             table = np.array(sorted(found), dtype=[("hash", np.uint64), ("n", np.int64), ("first", np.int64)])
-            self.parts[length] = (np.ascontiguousarray(table["hash"]), table["n"], table["first"])
+            hashes, tags = np.ascontiguousarray(table["hash"]), np.zeros(1 << TAG_BITS, bool)
+            tags[hashes >> np.uint64(64 - TAG_BITS)] = True
+            self.parts[length] = (hashes, tags, table["n"], table["first"])
 
     def windows(self, ids: np.ndarray) -> dict[int, np.ndarray]:
         """By length of the items: the starts of windows around an unchanged part of one of them."""
         spans: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        known = np.concatenate([[0], np.cumsum(ids > 0, dtype=np.int64)])
-        for length, (hashes, sizes, firsts) in self.parts.items():
-            if len(ids) < length:
+        words, known = ids.astype(np.uint64), ids > 0
+        every, whole = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
+        for length in range(1, min(max(self.parts, default=0), len(ids)) + 1):
+            # One step of run_hashes after the other: each length goes on from the one before.
+            n = len(ids) - length + 1
+            every = (every[:n] ^ words[length - 1 :]) * MIX
+            every ^= every >> np.uint64(31)
+            whole = whole[:n] & known[length - 1 :]
+            if length not in self.parts:
                 continue
-            at = np.flatnonzero(known[length:] - known[:-length] == length)
-            mine = run_hashes(ids, length)[at]
+            hashes, tags, sizes, firsts = self.parts[length]
+            at = np.flatnonzero(whole & tags[every >> np.uint64(64 - TAG_BITS)])
+            mine = every[at]
             low = np.searchsorted(hashes, mine, "left")
             hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine)
             low, at = low[hit], at[hit]
