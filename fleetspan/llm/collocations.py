@@ -6,8 +6,8 @@ container per next word. Beyond a bound on the entries the largest subtrees are
 spilled whole, each as a sorted run, and the runs of all tasks are merged per prefix
 partition by Spark.
 
-Only phrases that may be frequent enter the trie. Three passes before it sum the
-occurrences of the hashes of phrases of one, two and three words; the hashes that are
+Only phrases that may be frequent enter the trie. Four passes before it sum the
+occurrences of the hashes of phrases of one to four words; the hashes that are
 frequent make a bitmap, bounded in size and without false negatives. A pass looks at
 a phrase only where the shorter ones inside it passed, as what holds a rare phrase is
 rare. What passes by mistake is removed by the exact counts of the trie.
@@ -31,7 +31,7 @@ from fleetspan.llm.bitmaps import LEAST_BITS, bitmap_of, passes
 from fleetspan.operators.sizing import join_dimension, settle, written_table
 
 MOST_WORDS = 5
-SIFTED = 3  # phrase lengths with a pass and a bitmap of their own
+SIFTED = 4  # phrase lengths with a pass and a bitmap of their own
 
 BURST = 4096  # entries of a container
 ENTRIES = 600_000  # of a task's trie, before subtrees are spilled
@@ -398,16 +398,38 @@ def _sieve(texts: DataFrame, length: int, sieves: list[bytes], at_least: int) ->
     return bitmap_of(frequent, "hash", n) if n else None
 
 
-def _counted(texts: DataFrame, sieves: list[bytes]) -> DataFrame:
-    """(lang, phrase, n): exact counts of all phrases that pass, the runs merged by prefix partition."""
+def _merged(batches: Iterator[pd.DataFrame], at_least: int) -> Iterator[pd.DataFrame]:
+    """(lang, phrase, n) of the frequent phrases, and the totals; the runs come by prefix partition, one of which is held at a time."""
+    names = ["lang", "phrase", "n"]
+    at, sums = None, {}
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame([(*key, n) for key, n in sums.items() if n >= at_least or not key[1]], columns=names)
+
+    for batch in batches:
+        for prefix, lang, phrases, counts in zip(batch["prefix"].tolist(), batch["lang"], batch["phrases"], batch["counts"]):
+            if prefix != at:
+                if sums:
+                    yield frame()
+                at, sums = prefix, {}
+            for phrase, n in zip(phrases, counts.tolist()):
+                key = (lang, phrase)
+                sums[key] = sums.get(key, 0) + n
+    yield frame()
+
+
+def _counted(texts: DataFrame, sieves: list[bytes], at_least: int) -> DataFrame:
+    """(lang, phrase, n): exact counts of the frequent phrases, the runs of all tasks merged by prefix partition."""
     shared = texts.sparkSession.sparkContext.broadcast(sieves)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _runs(batches, [np.frombuffer(b, dtype=np.uint8) for b in shared.value])
 
-    runs = texts.mapInPandas(task, "prefix int, lang string, phrases array<string>, counts array<bigint>").repartition("prefix")
-    merged = runs.select("prefix", "lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("n"))))
-    return merged.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _merged(batches, at_least)
+
+    runs = texts.mapInPandas(task, "prefix int, lang string, phrases array<string>, counts array<bigint>")
+    return runs.repartition("prefix").sortWithinPartitions("prefix").mapInPandas(merge, "lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, at_least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -423,7 +445,7 @@ def frequent_phrases(docs: DataFrame, at_least: int, text: str = "text", lang: s
         if found is None:
             sieves += [sieves[-1]] * (SIFTED - length)
             break
-    counted = written_table(_counted(texts, sieves).where((F.col("n") >= at_least) | (F.col("phrase") == "")))
+    counted = written_table(_counted(texts, sieves, at_least))
     found = counted.where("phrase <> ''").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), F.col("n").alias("f"))
     return found, counted.where("phrase = ''").select("lang", "n")
 
