@@ -80,7 +80,7 @@ def test_small_tries_chunks_and_memories_change_nothing(monkeypatch, wordy):
     import pandas as pd
 
     frame = pd.DataFrame([(lang or "und", text or "") for _, text, lang in wordy], columns=["lang", "text"])
-    everything = [np.full(8192, 255, np.uint8)] * 3
+    everything = [np.full(8192, 255, np.uint8)] * phrases.SIFTED
 
     def counted():
         out = Counter()
@@ -109,7 +109,7 @@ def test_words_with_one_hash_are_told_apart(monkeypatch, wordy):
     import pandas as pd
 
     frame = pd.DataFrame([(lang or "und", text or "") for _, text, lang in wordy[:40]], columns=["lang", "text"])
-    everything = [np.full(8192, 255, np.uint8)] * 3
+    everything = [np.full(8192, 255, np.uint8)] * phrases.SIFTED
     count = lambda: sorted((r.lang, p, n) for part in phrases._runs(iter([frame]), everything) for r in part.itertuples(index=False) for p, n in zip(r.phrases, r.counts))
     wanted = count()
     make = Words.__init__
