@@ -36,8 +36,10 @@ URL_RULES = [
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
     Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
 ]
-# Pages on hosts with these labels make up the list of URLs.
+# The list of URLs: pages on hosts with these labels, and pages reported one by one (every fiftieth), so that the
+# list is more than a pattern of hosts and other spellings of a reported address must meet it.
 LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
+REPORTED_EVERY = 50
 
 PHRASE_LEAST, PHRASES_A_LANG = 100, 2000
 REPEAT_WORDS = 20
@@ -88,7 +90,9 @@ def op6_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    return pages.where(url_host(F.col("url")).rlike(LISTED_HOSTS)).select(canonical_url(F.col("url")).alias("canonical"))
+    host = url_host(F.col("url"))
+    chosen = host.rlike(LISTED_HOSTS) | (F.col("page_id") % REPORTED_EVERY == 0)
+    return pages.where((host != "") & chosen).select(canonical_url(F.col("url")).alias("canonical"))
 
 
 @query
@@ -186,7 +190,7 @@ k as (select *, list_sort(list_filter(string_split(parameters, '&'), lambda x: x
 c as (select page_id, host, path, case {rule} end as rule, case {ruled} end as ruled,
     case when host <> '' then regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
         || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical from k),
-listed as (select distinct canonical from c where regexp_matches(host, '{LISTED_HOSTS}'))
+listed as (select distinct canonical from c where host <> '' and (regexp_matches(host, '{LISTED_HOSTS}') or page_id % {REPORTED_EVERY} = 0))
 select page_id, host, path, rule,
     coalesce(ruled, case when canonical in (select canonical from listed) then 'block' else 'allow' end) as verdict,
     coalesce(ruled is null and canonical in (select canonical from listed), false) as listed

@@ -200,6 +200,22 @@ def test_url_rules_and_list(spark):
     assert judge_urls(pages, listed.limit(0), RULES).where("listed").count() == 0
 
 
+def test_other_spellings_of_a_reported_address_are_blocked(spark):
+    from fleetspan.llm.queries import REPORTED_EVERY, listed_urls
+
+    long = "x" * 300_000
+    urls = {
+        0: "http://a.net/p/?b=2&a=1", 1: "https://www.a.net/p?a=1&b=2&utm_source=m#top", 2: "http://a.net/p", 3: "http://b.net/p?a=1&b=2",
+        4: f"http://a.net/{long}/", 5: f"http://a.net/{long}y", REPORTED_EVERY: f"https://WWW.a.net/{long}#top",
+        2 * REPORTED_EVERY: None, 3 * REPORTED_EVERY: "no scheme", 6: "no scheme", 7: "", 8: "http://spam-farm.net/any", 4 * REPORTED_EVERY: "http:///p",
+    }
+    pages = spark.createDataFrame([*urls.items(), (None, "http://c.net/")], "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(pages, listed_urls(pages), RULES).collect()}
+    assert {k for k, r in got.items() if r.listed} == {0, 1, 4, 8, REPORTED_EVERY}
+    assert {k for k, r in got.items() if r.verdict == "block"} == {0, 1, 4, 8, REPORTED_EVERY}
+    assert len(got) == len(urls) + 1
+
+
 def test_filter_passes_all_listed_and_few_others(spark):
     listed = spark.range(2000).selectExpr("concat('in', id) as canonical")
     blocks = 1 + 2000 * 16 // 512
