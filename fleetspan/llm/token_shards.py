@@ -29,6 +29,7 @@ PARTITION_BYTES = 24 << 20  # text per task
 RANK_BITS = 512  # ones are counted up to each block of so many bits
 # Below U+0300 no characters combine or decompose; the superscripts and fractions are numbers but no digits.
 UNUSUAL = re.compile("[^\x00-\u02ff]|[²³¹¼½¾]")
+RARE_NUMBERS = "²³¹¼½¾"  # those of the above that Latin-1 holds
 # Fixed value: the pieces into which the tokenizer cuts usual lower-case text.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w \t\n\x0b\x0c\r\x85\xa0]|_)+")
 # The steps of a tokenizer for which words can be encoded one by one.
@@ -46,6 +47,19 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+
+
+def is_unusual(text: str) -> bool:
+    """Does ``UNUSUAL`` match? Text within Latin-1, which encodes at the speed of a copy, is searched for six characters only."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return UNUSUAL.search(text) is not None
+    return any(c in text for c in RARE_NUMBERS)
+
+
 MEMO_WORDS = 800_000
 MEMO_BYTES = 48
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, doc_sizes array<bigint>, wavelet binary"
@@ -198,9 +212,11 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():
             found = self._piece(word.decode())
+        elif word[:-1].isalpha() and word[-1] < 128 and not word[-1:].isalnum():  # letters and one sign: two pieces, kept by themselves
+            return self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "surrogatepass")
-            if UNUSUAL.search(text) or "<|" in text:
+            if is_unusual(text) or "<|" in text:
                 found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
                 pieces = PIECE.findall(text.lower())
@@ -214,7 +230,7 @@ class WordEncoder(dict):
             return b""
         data = text.encode("utf-8", "surrogatepass")
         # Lower case is the tokenizer's own first step; alike only where no mark can combine and no special token is meant.
-        if b"<|" not in data and not UNUSUAL.search(text):
+        if b"<|" not in data and not is_unusual(text):
             data = data.lower()
         if len(self) > MEMO_WORDS:
             self.clear()

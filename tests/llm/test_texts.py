@@ -57,6 +57,22 @@ def test_shards_hold_what_the_tokenizer_gives(sample, docs_from):
     assert got == shards_by_hand(texts_of(docs))
 
 
+def test_words_with_signs_equal_the_tokenizer():
+    import random
+
+    from fleetspan.llm.token_shards import UNUSUAL, encoder_for, is_unusual
+
+    path, rng = public_tokenizers.path(ENCODER), random.Random(3)
+    with open(path, encoding="utf-8") as file:
+        words = encoder_for(file.read())
+    plain = Tokenizer.from_file(path)
+    signs = "abcXYZÉß'.,<|_ \t\n\x1c\x85\xa0²½01-’é日́ﬁ"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(5000)] + ["it's", "word.", "word_", "word\x1c", "A<", "<|", "²", "é."]
+    for text in texts:
+        assert np.frombuffer(words.text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert is_unusual(text) == bool(UNUSUAL.search(text))
+
+
 def test_shards_of_awkward_tables(awkward, docs_from):
     path = public_tokenizers.path(ENCODER)
     assert encoded_documents(awkward, path, END_ID).count() == awkward.count()
