@@ -41,6 +41,24 @@ def test_flagship_plan(spark):
     assert "l_extendedprice" not in text and "PushedFilters: [IsNotNull(l_linenumber), IsNotNull(l_suppkey)]" in text
 
 
+def test_sites_multiply_devices_last(spark):
+    """Whatever is shuffled for models or prices moves before sites that share a code multiply the devices."""
+    for name in ("device_dataset", "clean_devices", "device_metrics"):
+        logical = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        outermost = next(line for line in logical.splitlines() if "Join " in line)
+        assert "loc_site_code" in outermost
+
+
+def test_split_writes_the_columns_in_use(spark, monkeypatch):
+    from checks import registry
+
+    written = []
+    monkeypatch.setattr(registry, "written_table", lambda df: written.append(df.columns) or df.localCheckpoint())
+    QUERIES["split_distribution"](spark, DATA)
+    QUERIES["split_stats"](spark, DATA)
+    assert written == [["device_name", "target", "model_group"], ["device_name", "target", "model_group", "device_model"]]
+
+
 def test_audit_plan(spark):
     """Each inventory is read once, nothing is joined to count: one exchange of hosts, one of sites."""
     for name in ("filter_audit", "tabs_row_counts"):
