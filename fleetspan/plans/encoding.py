@@ -67,7 +67,8 @@ class Encoder:
             fits[c] = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
         columns = rows.columns
         out = rows.withColumns({f"_in_{c}": F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in self.texts.items()})
-        for c in self.texts:
+        # The joins that move rows come last, when short slots stand for the other texts.
+        for c in sorted(self.texts, key=lambda c: not fits[c]):
             out = join_dimension(out, self._side(c, fits[c]), [(f"_in_{c}", "_value")], spread_by).drop("_value", f"_in_{c}")
 
         def entry(slot: Column, value: Column) -> Column:
@@ -93,6 +94,18 @@ class Encoder:
         fields = [f for f in encoded.schema.fields if f.name != "features"]
         return spark.read.schema(StructType([*fields, StructField("features", VectorUDT())])).parquet(path)
 
+    def restricted(self, rows: DataFrame) -> Encoder:
+        """The encoder without the values that no row holds, once filled; the others keep their order and close up.
+
+        In these rows the slots left out are zero throughout, so nothing fitted on them can depend on such a slot.
+        """
+        if not self.texts:
+            return self
+        filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(v)).alias(c) for c, v in self.texts.items()])
+        held = value_counts(filled, list(self.texts)).select("column", "value")
+        kept = written_table(self.dictionary.select("column", "value").join(held, ["column", "value"], "left_semi"))
+        return _numbered(kept, self.numbers, self.texts)
+
     def save(self, path: str) -> None:
         self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
         spark = self.dictionary.sparkSession
@@ -119,12 +132,17 @@ def fit_encoder(train: DataFrame, texts: list[str], numbers: list[str]) -> Encod
         return Encoder(filled, {}, train.sparkSession.createDataFrame([], "column string, value string, slot bigint"), {})
     counted = written_table(value_counts(train, texts))
     # One row per column. The value that fills a gap occurs, so the dictionary needs no other.
+    modes = {r["column"]: r["text_value"] for r in most_frequent(counted).collect()}
+    return _numbered(counted, filled, {c: modes[c] for c in texts if c in modes})
+
+
+def _numbered(counted: DataFrame, numbers: dict[str, float], texts: dict[str, str]) -> Encoder:
+    """The encoder of a written table of columns and values: slots by running sums, columns in the order of ``texts``."""
     size = F.sum(F.octet_length("value") + 16)
     measured = {r["column"]: (r["n"], r["size"]) for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n"), size.alias("size")).collect()}
-    modes = {r["column"]: r["text_value"] for r in most_frequent(counted).collect()}
     kept = [c for c in texts if c in measured]
-    first = dict(zip(kept, accumulate((measured[c][0] for c in kept), initial=len(filled))))
+    first = dict(zip(kept, accumulate((measured[c][0] for c in kept), initial=len(numbers))))
     placed = running_sums(counted.select("column", "value", F.lit(1).cast("bigint").alias("one")), "column", "value", {"place": "one"})
     start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair]) if first else F.create_map().cast("map<string,int>")
     slots = placed.select("column", "value", (start[F.col("column")] + F.col("place") - 1).cast("bigint").alias("slot"))
-    return Encoder(filled, {c: modes[c] for c in kept}, written_table(slots), {c: measured[c] for c in kept})
+    return Encoder(numbers, {c: texts[c] for c in kept}, written_table(slots), {c: measured[c] for c in kept})

@@ -76,3 +76,19 @@ def test_nothing_to_encode(spark):
     assert fit_encoder(df, ["empty"], []).width == 0
     assert fit_encoder(df, [], ["n"]).width == 1
     assert fit_encoder(df.limit(0), ["a"], ["n"]).transform(df, "device_name").where("features is null").count() == 0
+
+
+def test_restricted_to_the_values_some_rows_hold(spark):
+    """Slots that are zero in all those rows go; what is left stands in the same order."""
+    _, df = table(spark, 60)
+    encoder, few = fit_encoder(df, ["a", "b"], ["n"]), df.limit(20).localCheckpoint()
+    small = encoder.restricted(few)
+    assert small.width < encoder.width and small.numbers == encoder.numbers and small.texts == encoder.texts
+
+    def named(e, rows):
+        names = {r.slot: (r.column, r.value) for r in e.dictionary.collect()}
+        return {r.device_name: [(names.get(i, i), v) for i, v in zip(r.features.indices, r.features.values)] for r in e.transform(rows, "device_name").collect()}
+
+    assert named(small, few) == named(encoder, few)
+    held = {n for entries in named(encoder, few).values() for n, _ in entries}
+    assert named(small, df) == {d: [(n, v) for n, v in entries if n in held or isinstance(n, int)] for d, entries in named(encoder, df).items()}

@@ -90,6 +90,23 @@ def test_fit_rows_bounds_the_fit(devices):
     assert small.getNumTrees == 2 and small.numFeatures == encoder.width
 
 
+def test_vectors_follow_the_fitted_sample(devices):
+    """The forest sees slots for the values of its sample only, and multiplied rows get the scores of the plain transform."""
+    from pyspark.ml.functions import vector_to_array
+
+    split = model.split_rows(model.training_rows(devices, DAY))
+    encoder, _, _ = model.fit_preparation(split, model.feature_columns(devices))
+    options = model.TrainingOptions(trees=3, max_depth=4, fit_rows=60)
+    fitted, encoded = model.train_lifecycle_model(devices, DAY, options)
+    assert fitted.forest.numFeatures == fitted.encoder.width < encoder.width
+    rows = lambda df: sorted((r.device_name, *r.scores) for r in df.collect())
+    twice = encoded.unionAll(encoded)
+    plain = fitted.forest.transform(twice).withColumn("scores", vector_to_array("probability"))
+    scored = fitted.scores(twice)
+    assert rows(scored) == rows(plain)
+    assert scored.columns == [*encoded.columns, "scores"]
+
+
 def test_split_distribution(devices):
     split = model.split_rows(model.training_rows(devices, DAY))
     rows = model.class_distribution(split, by_split=True).collect()
