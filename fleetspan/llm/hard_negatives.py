@@ -7,9 +7,12 @@ in, coordinate by coordinate. A best-first queue takes boxes by their highest pr
 and leaves out those outside the wanted score window, of the wrong label, or that
 cannot beat the k-th result: strictly below it, or equal with larger keys only.
 
-Queries are packed into blocks and meet every tree once. Trees and blocks are joined by
-a group number, so the work is dealt evenly; only the best few of a query in each tree
-leave the task, and Spark ranks them.
+Queries are packed into blocks and meet every tree once. A block is searched as one: boxes
+no query of it can use are left out, the products with the others come from one matrix
+product, and what is below the k-th result of an earlier tree goes no further. Queries
+whose products need more than a double take the queue, one by one. Trees and blocks are
+joined by a group number, so the work is dealt evenly; only the best few of a query in
+each tree leave the task, and Spark ranks them.
 """
 
 from __future__ import annotations
@@ -228,56 +231,178 @@ def best_first(tree: Tree, query: np.ndarray, goals: list[Goal], exact: bool, le
     return out
 
 
+def best_of_block(
+    tree: Tree, queries: np.ndarray, low: np.ndarray, high: np.ndarray, floor: np.ndarray, k: int, leave_out: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``best_first`` finds on the exact path, for all queries of a block at once: goal, queries, keys and scores.
+
+    ``low``, ``high`` and ``floor`` hold a row per goal and a column per query. A floor is a score that ``k`` rows of
+    trees met so far reach; what lies below cannot be among the best ``k`` of all. Floors are raised in place.
+    """
+    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+    box_low, box_high, _ = tree.levels[0]
+    upper, lower = plus @ box_high.T + minus @ box_low.T, plus @ box_low.T + minus @ box_high.T
+    useful = np.zeros(len(tree.starts) - 1, dtype=bool)
+    for a, b, f in zip(low, high, floor):
+        useful |= ((upper >= np.maximum(a, f)[:, None]) & (lower <= b[:, None])).any(axis=0)
+    rows = np.flatnonzero(np.repeat(useful, np.diff(tree.starts)))
+    if not rows.size:
+        return
+    ids, scores = tree.ids[rows], queries @ tree.data[rows].T
+    if leave_out is not None:
+        scores[leave_out[:, None] == ids] = np.nan  # within no window
+    for goal in range(len(low)):
+        inside = (scores >= np.maximum(low[goal], floor[goal])[:, None]) & (scores <= high[goal][:, None])
+        full = np.flatnonzero(np.count_nonzero(inside, axis=1) >= k)
+        if full.size:
+            least = np.partition(np.where(inside[full], scores[full], -np.inf), -k, axis=1)[:, -k]
+            floor[goal, full] = least
+            inside[full] &= scores[full] >= least[:, None]
+        query, row = np.nonzero(inside)
+        order = np.lexsort((ids[row], -scores[query, row], query))
+        query, row = query[order], row[order]
+        best = np.arange(query.size) - np.searchsorted(query, query) < k
+        query, row = query[best], row[best]
+        yield goal, query, ids[row], scores[query, row].astype(np.int64)
+
+
 def _long(score: int) -> int:
     if abs(score) > MOST_LONG:
         raise OverflowError(f"an inner product of {score} does not fit a long; use a smaller scale")
     return score
 
 
-def _blocks(anchors: DataFrame, n_groups: int) -> DataFrame:
-    """Anchors in blocks, a copy of each for every group of trees."""
+@dataclass
+class Block:
+    """Anchors of one block as arrays; ``goal_ids`` and ``goal_scores`` have a row per goal, ``n_goals`` says how many count."""
+
+    number: int
+    ids: np.ndarray
+    labels: np.ndarray
+    queries: np.ndarray
+    n_goals: np.ndarray
+    goal_ids: np.ndarray
+    goal_scores: np.ndarray
+
+
+_BLOCK = "block long, anchor_width int, anchor_ids binary, anchor_labels array<string>, anchor_data binary, n_goals binary, goal_ids binary, goal_scores binary"
+
+
+def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks as bytes, so that each is taken apart once and not for every tree it meets."""
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    for batch in batches:
+        for number, anchors in zip(batch["block"].tolist(), batch["anchors"]):
+            queries = _matrix([a["v"] for a in anchors])
+            goals = [list(a["goals"]) if "goals" in a else [] for a in anchors]
+            found = np.zeros((2, max(map(len, goals)), len(goals)), dtype=np.int64)
+            for i, given in enumerate(goals):
+                for j, g in enumerate(given):
+                    found[:, j, i] = g["positive_id"], g["positive_score"]
+            ids = np.array([a["vec_id"] for a in anchors], dtype=np.int64)
+            counts = np.array([len(g) for g in goals], dtype=np.int64)
+            row = (number, queries.shape[1], ids.tobytes(), [a["label"] for a in anchors], queries.tobytes(), counts.tobytes(), found[0].tobytes(), found[1].tobytes())
+            yield pd.DataFrame([row], columns=names)
+
+
+def _blocks(anchors: DataFrame) -> DataFrame:
+    """Anchors in blocks, packed; written, because every group of trees gets a copy."""
     n_blocks = max(1, -(-anchors.count() // BLOCK_ANCHORS))
     row = F.struct(*anchors.columns)
     blocks = anchors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(row).alias("anchors"))
-    return blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    with _small_batches(anchors.sparkSession):
+        return written_table(blocks.mapInPandas(_pack_blocks, _BLOCK))
 
 
 def _search(trees: DataFrame, anchors: DataFrame, task, schema: str) -> DataFrame:
-    """Every block of anchors against every tree; written, as the batches are bounded only while this runs."""
+    """Every block of anchors against every tree; written, as the batches are bounded only while this runs.
+
+    The anchors are copied once for each group of trees. Groups follow the cores at work, not the rows, and each is a
+    task of its own, whatever the bytes it reads.
+    """
     spark = trees.sparkSession
-    n_groups = max(1, min(trees.count(), GROUPS_A_CORE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_groups = max(1, min(trees.count(), GROUPS_A_CORE * spark.sparkContext.defaultParallelism))
     grouped = trees.withColumn("group", F.pmod(F.xxhash64("tree"), F.lit(n_groups)).cast("int"))
-    pairs = grouped.join(_blocks(anchors, n_groups), "group")
+    copies = _blocks(anchors).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    pairs = grouped.repartition(n_groups, "group").join(copies.repartition(n_groups, "group").hint("merge"), "group")
     with _small_batches(spark):
         return written_table(pairs.mapInPandas(task, schema))
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Tree, str, list, np.ndarray, bool]]:
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Tree, str, Block, bool]]:
+    at = lambda b: np.frombuffer(b, dtype=np.int64)
     for batch in batches:
         for row in batch.itertuples(index=False):
-            queries = _matrix([a["v"] for a in row.anchors])
-            width = max(row.width, queries.shape[1])
+            ids = at(row.anchor_ids)
+            queries = np.frombuffer(row.anchor_data, dtype=np.float64).reshape(len(ids), row.anchor_width)
+            width = max(row.width, row.anchor_width)
             tree = Tree(row, width)
-            queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+            queries = np.pad(queries, ((0, 0), (0, width - row.anchor_width)))
+            goals = (at(b).reshape(-1, len(ids)) for b in (row.goal_ids, row.goal_scores))
+            block = Block(row.block, ids, np.array(row.anchor_labels, dtype=object), queries, at(row.n_goals), *goals)
             exact = np.abs(queries).max(initial=0) * np.abs(tree.data).max(initial=0) * max(width, 1) < EXACT
-            yield tree, row.label, list(row.anchors), queries, bool(exact)
+            yield tree, row.label, block, bool(exact)
 
 
 def _positives(trees: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for tree, label, rows, queries, exact in _pairs(batches):
+        floors: dict[int, np.ndarray] = {}
+        columns = ["anchor_id", "positive_id", "positive_score"]
+        for tree, label, block, exact in _pairs(batches):
+            same = np.flatnonzero(block.labels == label)
+            if not same.size:
+                continue
+            if exact:
+                known = floors.setdefault(block.number, np.full((1, len(block.ids)), -np.inf))
+                floor, open_ = known[:, same], np.full((1, same.size), np.inf)
+                for _, query, key, score in best_of_block(tree, block.queries[same], -open_, open_, floor, k, leave_out=block.ids[same]):
+                    yield pd.DataFrame(dict(zip(columns, (block.ids[same[query]], key, score))))
+                known[:, same] = floor
+                continue
             out = []
-            for anchor, query in zip(rows, queries):
-                if anchor["label"] == label:
-                    (found,) = best_first(tree, query, [Goal(-np.inf, np.inf, k)], exact, leave_out=anchor["vec_id"])
-                    out += [(anchor["vec_id"], key, _long(score)) for score, key in found]
-            yield pd.DataFrame(out, columns=["anchor_id", "positive_id", "positive_score"])
+            for i in same.tolist():
+                (found,) = best_first(tree, block.queries[i], [Goal(-np.inf, np.inf, k)], exact, leave_out=int(block.ids[i]))
+                out += [(int(block.ids[i]), key, _long(score)) for score, key in found]
+            yield pd.DataFrame(out, columns=columns)
 
     found = _search(trees, anchors, task, "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     return written_table(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"))
 
 
+def _negatives(low_percent: int, high_percent: int, k: int):
+    """The task that finds, for every positive of an anchor, the best rows of other labels within its window."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floors: dict[int, np.ndarray] = {}
+        columns = ["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"]
+        for tree, name, block, exact in _pairs(batches):
+            others = np.flatnonzero(block.labels != name)
+            if not others.size or not len(block.goal_ids):
+                continue
+            if exact and np.abs(block.goal_scores.astype(np.float64)).max(initial=0) < EXACT:
+                known = floors.setdefault(block.number, np.full(block.goal_ids.shape, -np.inf))
+                floor, score = known[:, others], block.goal_scores[:, others]
+                counts = np.arange(len(score))[:, None] < block.n_goals[others]
+                low = np.where(counts, -(-low_percent * score // 100), np.inf)
+                high = np.where(counts, high_percent * score // 100, -np.inf)
+                for goal, query, key, found in best_of_block(tree, block.queries[others], low, high, floor, k):
+                    at = others[query]
+                    yield pd.DataFrame(dict(zip(columns, (block.ids[at], block.goal_ids[goal, at], key, block.goal_scores[goal, at], found))))
+                known[:, others] = floor
+                continue
+            out = []
+            for i in others.tolist():
+                n = int(block.n_goals[i])
+                scores = list(zip(block.goal_ids[:n, i].tolist(), block.goal_scores[:n, i].tolist()))
+                windows = [Goal(-(-low_percent * s // 100), high_percent * s // 100, k) for _, s in scores]
+                for (positive, score), best in zip(scores, best_first(tree, block.queries[i], windows, exact)):
+                    out += [(int(block.ids[i]), positive, negative, score, _long(s)) for s, negative in best]
+            yield pd.DataFrame(out, columns=columns)
+
+    return task
+
+
 def hard_negatives(
     rows: DataFrame,
     key: str = "vec_id",
@@ -312,20 +437,8 @@ def hard_negatives(
     found = _positives(trees, anchors, positives)
     goals = found.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("goals"))
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for tree, name, block, queries, exact in _pairs(batches):
-            out = []
-            for row, query in zip(block, queries):
-                if row["label"] == name:
-                    continue
-                scores = [(g["positive_id"], int(g["positive_score"])) for g in row["goals"]]
-                windows = [Goal(-(-low_percent * s // 100), high_percent * s // 100, negatives) for _, s in scores]
-                for (positive, score), best in zip(scores, best_first(tree, query, windows, exact)):
-                    out += [(row["vec_id"], positive, negative, score, _long(s)) for s, negative in best]
-            yield pd.DataFrame(out, columns=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
-
     schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
-    mined = _search(trees, anchors.join(goals, "vec_id"), task, schema)
+    mined = _search(trees, anchors.join(goals, "vec_id"), _negatives(low_percent, high_percent, negatives), schema)
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = mined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -12,7 +12,7 @@ from fleetspan.llm import collocations as phrases
 from fleetspan.llm import substring_dedup as passages
 from fleetspan.llm.bitmaps import bitmap_of, passes
 from fleetspan.llm.collocations import HatTrie, Words, collocations
-from fleetspan.llm.hard_negatives import Goal, Tree, _packed_tree, best_first, hard_negatives, packed_trees, scaled_rows
+from fleetspan.llm.hard_negatives import Goal, Tree, _packed_tree, best_first, best_of_block, hard_negatives, packed_trees, scaled_rows
 from fleetspan.llm.substring_dedup import super_kmers, without_repeated_passages
 
 # --- bitmap ------------------------------------------------------------------
@@ -319,3 +319,28 @@ def test_best_first_prunes_boxes():
         wanted = sorted((-s, k) for k, s in enumerate(scores.tolist()) if low <= s <= high)[:10]
         assert found == [(int(-s), k) for s, k in wanted]
         assert len(visited) < len(tree.levels[0][2]) / 2
+
+
+def test_a_block_finds_what_each_query_finds():
+    """All queries at once against tree after tree, with floors: nothing of the best is lost, ties go to the smaller key."""
+    rng = np.random.default_rng(11)
+    names = ("tree", "label", "width", "ids", "data", "starts", "low", "high")
+    keys = rng.permutation(2000)
+    data = np.floor(rng.normal(size=(2000, 6)) * 4)
+    data[::3] = data[0]  # many equal rows
+    trees = [Tree(type("Row", (), dict(zip(names, _packed_tree(n, "a", keys[c].tolist(), list(data[c])))))(), 6) for n, c in enumerate(np.split(np.arange(2000), 4))]
+    queries, ids = data[:40].copy(), keys[:40]
+    low, high = np.stack([np.full(40, -np.inf), np.arange(40.0) - 20]), np.stack([np.full(40, np.inf), np.arange(40.0) + 15])
+    floor, found, given = np.full(low.shape, -np.inf), {}, 0
+    for tree in trees:
+        for goal, query, key, score in best_of_block(tree, queries, low, high, floor, 7, leave_out=ids):
+            given += len(query)
+            for q, k, s in zip(query.tolist(), key.tolist(), score.tolist()):
+                found.setdefault((goal, q), []).append((-s, k))
+    for q in range(40):
+        goals = [Goal(low[g, q], high[g, q], 7) for g in range(2)]
+        each = [best_first(tree, queries[q], goals, True, leave_out=int(ids[q])) for tree in trees]
+        for g in range(2):
+            best = sorted((-s, k) for one in each for s, k in one[g])[:7]
+            assert sorted(found.get((g, q), []))[:7] == best
+    assert given < 40 * 2 * 7 * len(trees)
