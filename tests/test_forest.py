@@ -26,6 +26,8 @@ def batches(data, order, size):
     slots, values, labels = data
     for a in range(0, N, size):
         at = order[a : a + size]
+        if not len(at):
+            return
         hashes = [hash((tuple(slots[i]), tuple(values[i]))) for i in at]
         columns = [pa.array(hashes, pa.int64()), pa.array(labels[at], pa.int32()), pa.array([slots[i] for i in at], pa.list_(pa.int32())), pa.array([values[i] for i in at], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(columns, ["hash", "label", "slots", "held"])
@@ -44,25 +46,27 @@ def growth(rows, tree, depth=12):
 
 
 def test_a_task_holds_every_row_in_any_layout(data):
-    rows = forest.gathered(batches(data, np.arange(N), 400), WIDTH)
+    rows = forest.gathered(batches(data, np.arange(N), 400), N, 4, WIDTH)
     assert len(rows.labels) == N and np.bincount(rows.labels).tolist() == np.bincount(data[2]).tolist()
     assert sorted(rows.numbers) == [0] and rows.numbers[0].sum() == sum(x[0] for s, x in zip(*data[:2]) if s[0] == 0)
     for s in range(1, WIDTH):
         held = rows.posted[rows.starts[s] : rows.starts[s + 1]]
-        assert sorted(held.tolist()) == np.flatnonzero((rows.slots == s).any(axis=1)).tolist()
-    other = forest.gathered(batches(data, np.random.default_rng(1).permutation(N), 333), WIDTH)
+        assert sorted(held.tolist()) == np.flatnonzero((rows.slots == s).any(axis=0)).tolist()
+    with pytest.raises(ValueError, match="training rows"):
+        forest.gathered(batches(data, np.arange(N - 5), 400), N, 4, WIDTH)
+    other = forest.gathered(batches(data, np.random.default_rng(1).permutation(N), 333), N, 4, WIDTH)
     assert growth(rows, 5).grown() == growth(other, 5).grown()
 
 
 def test_leaves_hold_the_rows_that_reach_them(data):
     """Both ways of counting, by lists of rows and by the rows themselves, against every row's own way down."""
-    rows = forest.gathered(batches(data, np.arange(N), 400), WIDTH)
+    rows = forest.gathered(batches(data, np.arange(N), 400), N, 4, WIDTH)
     for small in (0, 64, 10 * N):
         one = growth(rows, 1)
         one.small = small
         tree, reached = one.grown(), {}
         for r in np.flatnonzero(one.times).tolist():
-            slots = [int(s) for s in rows.slots[r] if s < WIDTH]
+            slots = [int(s) for s in rows.slots[:, r] if s < WIDTH]
             node, _ = walk(tree, [0, *slots], [rows.numbers[0][r], *[1.0] * len(slots)])
             reached.setdefault(node, np.zeros(3))[rows.labels[r]] += one.times[r]
         leaves = [k for k, f in enumerate(one.feature) if f < 0]
@@ -71,7 +75,7 @@ def test_leaves_hold_the_rows_that_reach_them(data):
 
 
 def test_scores_are_the_average_of_all_trees(data):
-    rows = forest.gathered(batches(data, np.arange(N), 400), WIDTH)
+    rows = forest.gathered(batches(data, np.arange(N), 400), N, 4, WIDTH)
     trees = [growth(rows, k).grown() for k in range(6)]
     slots, values = [*data[0][:300], [], [435, 1]], [*data[1][:300], [], [1.0, 1.0]]
     found = forest.scored([np.array(s, dtype=np.int32) for s in slots], [np.array(v) for v in values], forest.steps_of(trees, WIDTH, 3, [0]))
